@@ -69,16 +69,20 @@ class ByteLevelWords:
         new = set().union(*(f[1:] for f in pieces)).difference(self.known)
         # Where white space meets white space a space alone may not be cut at.
         bad = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new -= bad
+        tails = {}  # last words that end in white space; they aren't remembered, as elsewhere they may not be cut off
         for i, f in enumerate(pieces):
             if len(f) > 1 and (not f[0] or f[0][-1].isspace() or (bad and not bad.isdisjoint(f[1:]))):
-                pieces[i] = self.cut.split(texts[i])
-                new.update(w for w in pieces[i][1:] if w not in self.known)
-        new -= bad
+                f = pieces[i] = self.cut.split(texts[i])
+                if len(f) > 1 and f[-1][-1].isspace():
+                    tails[i] = " " + f.pop()
+                new.update(w for w in f[1:] if w not in self.known)
         if new:
             self.learn(sorted(new))
-        firsts = self.tokenizer.encode_batch([f[0] for f in pieces], add_special_tokens=False)
+        ids = [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch([*(f[0] for f in pieces), *tails.values()], add_special_tokens=False)]
+        ends = dict(zip(tails, ids[len(pieces) :], strict=True))
         get = self.known.__getitem__
-        return [np.array(e.ids, np.uint16).tobytes() + b"".join(map(get, f[1:])) for e, f in zip(firsts, pieces, strict=True)]
+        return [first + b"".join(map(get, f[1:])) + ends.get(i, b"") for i, (first, f) in enumerate(zip(ids, pieces, strict=False))]
 
 
 _CONTROLS = re.compile("[\x1c-\x1f]")

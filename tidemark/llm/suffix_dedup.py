@@ -289,14 +289,35 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
 
-_FRAGMENT = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("least", "<i8"), ("most", "<i8"), ("count", "<u1")])
+#: Of the anchor half its hash: anchors that agree in it are sorted together, no more.
+_FRAGMENT = np.dtype([("anchor", "<u4"), ("whole", "<u8"), ("least", "<i8"), ("most", "<i8"), ("count", "<u1")])
+
+
+def _packed(heads: np.ndarray, texts: np.ndarray) -> bytes:
+    """Field by field, compressed: hashes stay as they are, ids and text shrink."""
+    import zstandard
+
+    fields = b"".join(np.ascontiguousarray(heads[k] if k != "most" else heads["most"] - heads["least"]).tobytes() for k in _FRAGMENT.names)
+    return len(heads).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(fields + texts.tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    n, raw = int.from_bytes(data[:4], "little"), zstandard.ZstdDecompressor().decompress(data[4:])
+    heads, at = np.zeros(n, _FRAGMENT), 0
+    for k in _FRAGMENT.names:
+        heads[k] = np.frombuffer(raw, _FRAGMENT[k], n, at)
+        at += n * _FRAGMENT[k].itemsize
+    heads["most"] += heads["least"]
+    return heads, np.frombuffer(raw, np.uint8, offset=at)
 
 
 def _fragments(n: int):
-    """Cogroup function: a chunk and its bits to (bucket, chunk, heads, texts)."""
+    """Cogroup function: a chunk and its bits to (bucket, chunk, fragments)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "heads": pa.array([], pa.binary()), "texts": pa.array([], pa.binary())})
+        empty = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int64()), "fragments": pa.array([], pa.binary())})
         if not left.num_rows:
             return empty
         chunk, docs, offsets, data = _opened(left)
@@ -319,14 +340,15 @@ def _fragments(n: int):
             return empty
         _, one, back = np.unique(whole[take], return_index=True, return_inverse=True)
         heads = np.zeros(len(one), _FRAGMENT)
-        heads["anchor"], heads["whole"], heads["count"] = hashes[take][one], whole[take][one], count[take][one]
+        anchor = hashes[take][one]
+        heads["anchor"], heads["whole"], heads["count"] = (anchor >> np.uint64(8)).astype(np.uint32), whole[take][one], count[take][one]
         heads["least"], heads["most"] = NO_DOC, -(1 << 63)
         least, most = heads["least"].copy(), heads["most"].copy()
         np.minimum.at(least, back, ids[take])
         np.maximum.at(most, back, ids[take])
         heads["least"], heads["most"] = least, most
         begin = start[take][one]
-        order, bounds = _by_bucket(heads["anchor"], n)
+        order, bounds = _by_bucket(anchor, n)
         filled = np.flatnonzero(np.diff(bounds))
         heads, begin = heads[order], begin[order]
         sizes = heads["count"].astype(np.int64) + LENGTH - 1
@@ -335,8 +357,7 @@ def _fragments(n: int):
         return pa.table({
             "bucket": pa.array(filled.astype(np.int32)),
             "chunk": pa.array(np.full(len(filled), chunk)),
-            "heads": pa.array([heads[bounds[b] : bounds[b + 1]].tobytes() for b in filled], pa.binary()),
-            "texts": pa.array([texts[ends[bounds[b]] : ends[bounds[b + 1]]].tobytes() for b in filled], pa.binary()),
+            "fragments": pa.array([_packed(heads[bounds[b] : bounds[b + 1]], texts[ends[bounds[b]] : ends[bounds[b + 1]]]) for b in filled], pa.binary()),
         })
 
     return run
@@ -379,16 +400,15 @@ def least_documents(heads: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, n
 
 def _answers(table: pa.Table) -> pa.Table:
     """Of one bucket: to each chunk, the fragments some of whose windows a smaller document has."""
-    blobs = table["heads"].to_pylist()
-    heads = np.frombuffer(b"".join(blobs), _FRAGMENT)
-    first, least = least_documents(heads, np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8))
+    blobs = [_unpacked(x) for x in table["fragments"].to_pylist()]
+    heads = np.concatenate([h for h, _ in blobs])
+    first, least = least_documents(heads, np.concatenate([t for _, t in blobs]))
     counts = np.diff(first)
     useful = np.minimum.reduceat(least, first[:-1]) < heads["most"]
-    sizes = np.array([len(b) // _FRAGMENT.itemsize for b in blobs])
-    owner = np.repeat(np.arange(len(blobs)), sizes)
+    bounds = np.cumsum([0, *(len(h) for h, _ in blobs)])
     whole, documents = [], []
     for i in range(len(blobs)):
-        mine = np.flatnonzero((owner == i) & useful) if len(blobs) < 2 else np.flatnonzero(useful[sizes[:i].sum() : sizes[: i + 1].sum()]) + sizes[:i].sum()
+        mine = np.flatnonzero(useful[bounds[i] : bounds[i + 1]]) + bounds[i]
         whole.append(np.rec.fromarrays([heads["whole"][mine], counts[mine].astype(np.uint8)], dtype=_ANSWER).tobytes())
         places = np.repeat(first[mine] - (np.cumsum(counts[mine]) - counts[mine]), counts[mine]) + np.arange(counts[mine].sum())
         values = least[places]
@@ -463,11 +483,11 @@ def dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = parts(spark)
-    chunks = pinned(_chunks(docs).repartition(width, "chunk"))
+    chunks = pinned(_chunks(docs))
     n_chunks = chunks.count()
     n = max(width, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
     bits = _anchors(chunks, n).groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, bits binary")
-    fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_fragments(n), "bucket int, chunk long, heads binary, texts binary")
+    fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_fragments(n), "bucket int, chunk long, fragments binary")
     answers = fragments.groupBy("bucket").applyInArrow(_answers, "chunk long, heads binary, least binary")
     schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, kept binary") if with_bytes else SCHEMA
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(with_bytes), schema)

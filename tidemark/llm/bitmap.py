@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: 2 ** 26 bits are 8 MB.
 MOST_BITS = 26
 
@@ -43,7 +45,7 @@ def bitmap_of(ids: DataFrame, most_bits: int = MOST_BITS) -> Bitmap:
             at = mixed(np.asarray(b.column(0)).astype(np.int64)) >> np.uint64(64 - bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["w", "v"])
 
-    rows = ids.where(F.col(name).isNotNull()).mapInArrow(places, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    rows = ids.where(F.col(name).isNotNull()).mapInArrow(lean(places), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     if rows.num_rows:
         words[np.asarray(rows["w"])] = np.asarray(rows["v"]).astype(np.int64).view(np.uint64)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import lean, sliced
 
 #: Pre-tokens remembered per task; beyond it the memory starts anew.
 MOST_KNOWN = 500_000
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     given = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    return given.mapInArrow(run, f"key {kind}, n_tokens long, {schema}").withColumnRenamed("key", key)
+    return given.mapInArrow(lean(run), f"key {kind}, n_tokens long, {schema}").withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pinned
+from .common import lean, lean_cogroup, lean_group, pinned
 from .components import components
 
 #: Links of a node on the upper layers (twice as many on the lowest); beam of the construction and of the first search.
@@ -290,7 +290,7 @@ def _vectors(vectors: DataFrame) -> DataFrame:
                     keys.append(xxhash.xxh3_128_digest(blobs[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["vec_id", "key", "vec"])
 
-    return vectors.mapInArrow(run, "vec_id long, key binary, vec binary")
+    return vectors.mapInArrow(lean(run), "vec_id long, key binary, vec binary")
 
 
 def _stacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -357,11 +357,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, column: str = "embe
         shards = max(LEAST_SHARDS, -(-total // SHARD))
         groups = max(1, total // (16 * BLOCK * LEAST_SHARDS))
         placed = mine.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "rep", "n", "vec")
-        graphs = pinned(placed.groupBy("shard").applyInArrow(_graphs, "shard int, dims int, ids binary, weights binary, vectors binary, graph binary"))
+        graphs = pinned(placed.groupBy("shard").applyInArrow(lean_group(_graphs), "shard int, dims int, ids binary, weights binary, vectors binary, graph binary"))
         # Every shard meets every block of queries: the stated query set is all vectors.
         asked = mine.select("rep", "vec", F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(groups)).cast("int").alias("part")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        out = pinned(spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(least), "a long, b long, n long"))
+        out = pinned(spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(lean_cogroup(_searched(least)), "a long, b long, n long"))
         forests.append(out.where("n = 0").select("a", "b"))
         counts.append(out.where("n > 0").select("a", "n"))
     if not dims:

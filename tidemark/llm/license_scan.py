@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced
+from .common import lean, sliced
 
 # The base phrases and their labels, given by the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     from pyspark.sql import functions as F
 
     given = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"key {kind.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
+    return given.mapInArrow(lean(run), f"key {kind.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,13 +6,13 @@ round T + i every element goes to bin i, and a bin keeps the least (round,
 hash) it has met; a document stops after the first round that leaves no bin
 empty. So every coordinate is filled, and equal coordinates are as frequent as
 the sets are similar, with Chernoff-like concentration. Bands of coordinates
-name the candidates, sketches screen them, and full sets confirm every link.
+name the candidates, sketches group them, and full sets confirm every link.
 
 Copies of a set are one class from the start. A bucket (a band's value) is
-never expanded into its pairs: its classes are first verified against the
-bucket's pivot. Only where a bucket still spans several components are pairs
-across components screened, in salted blocks, and verified. What is lost is
-what banding misses: at a similarity of 0.8, ROWS = 5 and BANDS = 32 miss
+never expanded into its pairs: its classes are tied to pivots by sketch, and
+within the groups so made full sets are compared, in blocks, until nothing
+outside a group's largest component is left to compare. What is lost is what
+banding misses: at a similarity of 0.8, ROWS = 5 and BANDS = 32 miss
 (1 - 0.8 ** 5) ** 32 = 3e-6 of the pairs.
 """
 
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap_of
-from .common import pinned, sliced, utf8
+from .common import lean, lean_group, pinned, sliced, utf8
 from .components import components
 
 ROWS, BANDS = 5, 32
 T = ROWS * BANDS
-#: Sketch agreement below which a pair isn't verified: 5 deviations under 0.8.
-SCREEN = 0.64
-#: Classes of a bucket's largest component that meet the bucket's others in one block.
-BLOCK = 4096
+#: Sketch agreements, five deviations from a similarity of 0.65 and of 0.45 = 0.65 - 0.2.
+TIGHT, LOOSE = 0.8, 0.25
+#: Rounds of pivots per bucket; classes compared in one block; members of a group that meet all its blocks.
+TURNS, BLOCK, ENVOYS = 3, 4096, 16
 
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -135,6 +135,15 @@ def small(sketch: np.ndarray) -> np.ndarray:
         return (mix(sketch) & np.uint64(255)).astype(np.uint8)
 
 
+def set_key(x: np.ndarray) -> bytes:
+    """Size and two 64-bit sums of a set: equal for equal sets."""
+    if not len(x):
+        return bytes(24)
+    with np.errstate(over="ignore"):
+        h = mix(x)
+        return np.array([len(x), h.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(h + np.uint64(9)))], np.uint64).tobytes()
+
+
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for whole in batches:
@@ -142,101 +151,159 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(*utf8(batch), words)
                 s = sketches(sets)
                 keys, marks = band_keys(s).view(np.int64), small(s)
-                with np.errstate(over="ignore"):
-                    first = [int(mix(x).sum(dtype=np.uint64)) for x in sets]
-                    second = [int(np.bitwise_xor.reduce(mix(mix(x) + np.uint64(9)))) if len(x) else 0 for x in sets]
-                ids = [len(x).to_bytes(8, "little") + a.to_bytes(8, "little") + b.to_bytes(8, "little") for x, a, b in zip(sets, first, second, strict=True)]
+                ids = [set_key(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([r.tobytes() for r in marks], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
                     ["doc_id", "n", "set_key", "marks", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, marks binary, keys array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, set_key binary, marks binary, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents named; a bounded bitmap of the ids spares
-    the others their shingles, and no text is shuffled."""
-    known = bitmap_of(ids)
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the sets wanted (id, set_key); a bounded bitmap of the
+    ids spares other documents their shingles, and no text is shuffled."""
+    known = bitmap_of(wanted.select("id").distinct())
 
     def run(batches):
         for whole in batches:
             for batch in sliced(whole):
-                good = pa.array(known.has(np.asarray(batch.column(0).fill_null(0))))
-                few = batch.filter(good)
+                few = batch.filter(pa.array(known.has(np.asarray(batch.column(0).fill_null(0)))))
                 sets = shingle_sets(*utf8(few), words) if few.num_rows else []
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_key", "shingles"])
 
-    found = docs.mapInArrow(run, "id long, shingles binary")
-    return found.join(ids.toDF("id"), "id", "left_semi").dropDuplicates(["id"])
+    found = docs.mapInArrow(lean(run), "id long, set_key binary, shingles binary")
+    return found.join(wanted, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).select("id", "shingles")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
-    pairs = pinned(pairs)
-    ids = pinned(pairs.select("a").union(pairs.select("b")).distinct())
-    sets = pinned(_sets(docs, ids, words))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-
-    def run(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    good.append(False)
-                    continue
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * common >= percent * (len(p) + len(q) - common))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _screened(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sketches agree enough."""
+def _scored(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """pairs (a, b) with est, the share of equal sketch coordinates."""
     both = pairs.join(marks.toDF("a", "ma"), "a").join(marks.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
     def run(batches):
         for batch in batches:
             m, k = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, T) for i in (2, 3))
-            kept = batch.filter(pa.array((m == k).mean(1) >= SCREEN))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((m == k).mean(1))], ["a", "b", "est"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long, est double")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree.
+def _candidates(reps: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components hold every pair that shares a bucket and
+    can be similar enough: canopies around the buckets' pivots.
 
-    members: (key, id, comp, marks) of buckets with several components. Each
-    bucket's largest component is dealt to blocks, and the bucket's other
-    classes go to all its blocks; pairs among those others are made in one.
+    A bucket's smallest id is its pivot. Members LOOSE to it are tied to it;
+    those TIGHT to it are done, as whatever they are linked to is LOOSE to the
+    pivot (1 - similarity is a metric). The rest take a pivot of their own;
+    what the last round leaves of a bucket is tied together unseen. An edge
+    per bucket, member and round at most, however large a bucket is.
+    """
+    marks = reps.select("id", "marks")
+    members = reps.select("id", F.explode("keys").alias("key")).select("key", "id")
+    edges = None
+    for turn in range(TURNS + 1):
+        pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+        rows = members.join(pivots, "key").where("id <> pivot").select("key", "pivot", "id")
+        rows = pinned(rows)
+        pairs = rows.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        if turn == TURNS:
+            return pinned(edges.union(pairs).distinct())
+        scored = pinned(_scored(pairs, marks))
+        near = scored.where(F.col("est") >= LOOSE).select("a", "b")
+        edges = near if edges is None else edges.union(near)
+        left = scored.where(F.col("est") < TIGHT).select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+        members = rows.join(left, ["pivot", "id"], "left_semi").select("key", "id")
+    raise AssertionError
+
+
+def link_forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, comps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the ids which links reach within these sets.
+
+    One query compares a set in full with all others, by shared shingles. The
+    most central set asks first; then only sets outside the largest component
+    need to: every pair of different components has one of those. comps: ids
+    known to be connected already.
     """
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
-    tagged = members.join(largest, "key").select("key", "id", "comp", "marks", (F.col("comp") == F.col("top.comp")).alias("big"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("blocks"))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = tagged.select("key", "id", "comp", "marks", "big", F.explode(F.when(F.col("big"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
+    m = len(ids)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    unique, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.cumsum(sizes) - sizes
+    label = np.arange(m) if comps is None else np.unique(comps, return_inverse=True)[1].astype(np.int64)
+    given = label.copy()
+    central = np.add.reduceat(np.bincount(codes)[codes], bounds) / sizes
+    todo, asked = np.argsort(-central, kind="stable"), np.zeros(m, bool)
+    held = np.zeros(len(unique), bool)
+    first = True
+    while True:
+        largest = np.bincount(label).argmax()
+        waiting = todo[~asked[todo] & (first | (label[todo] != largest))]
+        if not len(waiting):
+            break
+        for i in waiting.tolist():
+            if not first and label[i] == largest:
+                continue
+            mine = codes[bounds[i] : bounds[i] + sizes[i]]
+            held[mine] = True
+            common = np.add.reduceat(held[codes], bounds, dtype=np.int64)
+            held[mine] = False
+            asked[i] = True
+            near = 100 * common >= percent * (sizes[i] + sizes - common)
+            found = np.unique(label[near])
+            if len(found) > 1:
+                to = largest if largest in found else found[0]
+                label[np.isin(label, found)] = to
+            if first:
+                first = False
+                break
+    # Per new component: a star over one id of each component that it was made of.
+    _, one = np.unique(given, return_index=True)
+    roots = {c: int(ids[label == c].min()) for c in np.unique(label[one]).tolist()}
+    ends = np.array([roots[c] for c in label[one].tolist()], np.int64)
+    keep = ends != ids[one]
+    return ends[keep], ids[one][keep]
+
+
+def _tied(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (grp, block, id, comp, shingles): the edges of each block's links."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comps = np.asarray(table["id"]), np.asarray(table["comp"])
-        big = np.asarray(table["big"])
-        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, T)
-        first = int(table["block"][0].as_py()) == 0
-        others = np.flatnonzero(~big)
-        facing = np.arange(len(ids)) if first else np.flatnonzero(big)
-        a, b = [], []
-        for i in others.tolist():
-            rest = facing[(comps[facing] != comps[i]) & (big[facing] | (ids[facing] > ids[i]))]
-            good = rest[(marks[rest] == marks[i]).mean(1) >= SCREEN] if len(rest) else rest
-            a.append(np.full(len(good), ids[i]))
-            b.append(ids[good])
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
+        # A member may have come as a guest, too; an id may have several sets.
+        rows = list(set(zip(*(table[k].to_pylist() for k in ("id", "comp", "shingles")), strict=True)))
+        rows.sort(key=lambda r: (r[0], r[2]))
+        a, b = link_forest(np.array([r[0] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], percent, np.array([r[1] for r in rows]))
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
+
+    return rows.groupBy("grp", "block").applyInArrow(lean_group(run), "a long, b long")
+
+
+def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes, whose components are those of all links.
+
+    Each candidate group is compared in blocks of bounded size. First a block
+    meets itself and a few members of its whole group, which ties the blocks'
+    large components together; then what is outside a group's largest
+    component meets every block.
+    """
+    groups = pinned(components(_candidates(reps)).toDF("id", "grp"))
+    sets = pinned(_sets(docs, reps.select("id", "set_key").join(groups, "id", "left_semi"), words))
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = pinned(groups.join(sizes, "grp").select("grp", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    w = F.xxhash64("id", F.lit(7))
+    envoys = placed.where("blocks > 1").groupBy("grp", "blocks").agg(F.slice(F.sort_array(F.collect_list(F.when(F.pmod(w, F.col("blocks") * (BLOCK // ENVOYS)) == 0, F.struct(w.alias("w"), "id")))), 1, 2 * ENVOYS).alias("e"))
+    guests = envoys.select("grp", F.explode("e.id").alias("id"), "blocks").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    once = placed.select("grp", "id", "block").union(guests).join(sets, "id").select("grp", "block", "id", F.col("id").alias("comp"), "shingles")
+    links = pinned(_tied(once, percent))
+    big = placed.where("blocks > 1")
+    if not big.limit(1).count():
+        return links
+    comps = pinned(components(links)).toDF("id", "comp")
+    named = pinned(big.join(comps, "id", "left").select("grp", "id", "blocks", "block", F.coalesce("comp", "id").alias("comp")))
+    largest = named.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
+    marked = named.join(largest, "grp")
+    home = marked.select("grp", "id", "block", "comp")
+    away = marked.where("comp <> top").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "comp")
+    again = home.union(away).join(sets, "id").select("grp", "block", "id", "comp", "shingles")
+    return links.union(pinned(_tied(again, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,23 +322,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sig = pinned(_signatures(docs, words))
     full = sig.where("n > 0 and doc_id is not null")
     classes = pinned(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes, "set_key").where("doc_id = rep").select(F.col("doc_id").alias("id"), "marks", "keys").dropDuplicates(["id"])
+    reps = full.join(classes, "set_key").where("doc_id = rep").select(F.col("doc_id").alias("id"), "set_key", "marks", "keys").dropDuplicates(["id", "set_key"])
     reps = pinned(reps)
-    marks = reps.select("id", "marks")
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    pivots = pinned(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
-    members = pinned(banded.join(pivots, "key").select("key", "id", "pivot"))
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = pinned(_verified(_screened(stars, marks), docs, words, percent))
-    comps = pinned(components(links))
-    placed = members.select("key", "id").join(comps.toDF("id", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
-    placed = pinned(placed)
-    spread = placed.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("key")
-    open_members = placed.join(spread, "key").join(marks, "id").select("key", "id", "comp", "marks")
-    more = pinned(_verified(_across(open_members).join(links, ["a", "b"], "left_anti"), docs, words, percent))
-    comps = pinned(components(links.union(more)))
+    comps = pinned(components(_links(docs, reps, words, percent)))
     named = classes.join(comps.toDF("rep", "c"), "rep", "left").select("set_key", F.coalesce("c", "rep").alias("component"))
-    out = sig.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sig.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.select("*", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 

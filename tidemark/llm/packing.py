@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import lean, sliced
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens held by a task before it packs them.
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
             yield flush()
 
     given = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, f"key {kind}, {SCHEMA}" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)
+    return given.mapInArrow(lean(run), f"key {kind}, {SCHEMA}" + ", ids array<int>" * with_ids).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

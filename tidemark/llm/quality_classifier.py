@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, utf8
+from .common import lean, sliced, utf8
 
 #: Bytes of a chunk, and the part of it that the next chunk repeats.
 CHUNK, OVERLAP = 256, 32
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
                     out.append(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "text", "quality"])
 
-    sample = found.select("doc_id", F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality")).mapInArrow(cut, "doc_id long, text binary, quality int")
+    sample = found.select("doc_id", F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality")).mapInArrow(lean(cut), "doc_id long, text binary, quality int")
     got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
     return train([bytes(r["text"]) for r in got], np.array([r["quality"] for r in got]))
 
@@ -211,7 +211,7 @@ def scored(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text
             for batch in sliced(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(*utf8(batch)))], ["key", "score"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,7 +227,7 @@ def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> Da
                 good = own.score(*utf8(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]))) >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, pinned, sliced, stash_path
+from .common import drop_path, lean, pinned, sliced, stash_path
 
 MAGIC, VERSION = b"TMS8B\x00\x00\x00", 1
 HEADER = struct.Struct("<8sIQQQQI")
@@ -190,8 +190,8 @@ def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text
     spark = docs.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cuts // 8))
     given = docs.select(k.alias("key"), F.col(text).cast("string").alias("text"))
-    rows = given.mapInArrow(coded, "range int, key long, ids binary").repartition(width, "range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
-    rows.mapInArrow(files, FILE_SCHEMA).write.parquet(path)
+    rows = given.mapInArrow(lean(coded), "range int, key long, ids binary").repartition(width, "range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
+    rows.mapInArrow(lean(files), FILE_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -227,7 +227,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                     columns.append(pa.array([d.view(np.int32) for d in documents], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    return placed.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return placed.mapInArrow(lean(rows), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap_of
-from .common import parts, pinned, sliced, utf8
+from .common import lean, lean_cogroup, lean_group, parts, pinned, sliced, utf8
 
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
@@ -230,7 +230,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if keys:
             yield closed()
 
-    return docs.mapInArrow(run, "chunk long, docs binary, offsets binary, text binary")
+    return docs.mapInArrow(lean(run), "chunk long, docs binary, offsets binary, text binary")
 
 
 def _opened(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +273,7 @@ def _anchors(chunks: DataFrame, n: int) -> DataFrame:
                 blobs = [_low(hashes[order[bounds[b] : bounds[b + 1]]]) for b in filled]
                 yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), chunk)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "hashes"])
 
-    return chunks.mapInArrow(run, "bucket int, chunk long, hashes binary")
+    return chunks.mapInArrow(lean(run), "bucket int, chunk long, hashes binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -486,11 +486,11 @@ def dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     chunks = pinned(_chunks(docs))
     n_chunks = chunks.count()
     n = max(width, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
-    bits = _anchors(chunks, n).groupBy("bucket").applyInArrow(_shared, "chunk long, bucket int, bits binary")
-    fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(_fragments(n), "bucket int, chunk long, fragments binary")
-    answers = fragments.groupBy("bucket").applyInArrow(_answers, "chunk long, heads binary, least binary")
+    bits = _anchors(chunks, n).groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
+    fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lean_cogroup(_fragments(n)), "bucket int, chunk long, fragments binary")
+    answers = fragments.groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
     schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, kept binary") if with_bytes else SCHEMA
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(with_bytes), schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_bytes)), schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

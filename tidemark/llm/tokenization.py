@@ -16,7 +16,7 @@ import numpy as np
 from .common import one_thread
 
 #: Words remembered per task; beyond it the memory starts anew (results stay the same).
-MOST_WORDS = 500_000
+MOST_WORDS = 800_000
 #: Words in one call of the library, which slows down on long strings.
 AT_ONCE = 1000
 
@@ -31,6 +31,13 @@ def _library(path: str):
     return made
 
 
+def _stems(words: list[str], ended: list[str], known: dict[str, bytes]) -> list[str]:
+    """The words to ask for: in place of those that end in a mark, their stems."""
+    rest = set(words).difference(ended)
+    rest.update(w for w in (w[:-1] for w in ended) if w not in known)
+    return list(rest)
+
+
 class ByteLevelWords:
     """For byte-level BPE whose pattern takes one space before a word.
 
@@ -44,12 +51,16 @@ class ByteLevelWords:
         for token, i in self.tokenizer.get_vocab().items():
             self.heads[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
+        self.ends = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ".,"}
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.odd = re.compile(r"\s\s|\A\s|\s\Z")
 
     def learn(self, words: list[str]) -> None:
         """Ids of words that each follow a space."""
-        plain = [w for w in words if w and not self.odd.search(w)]
+        # Letters and one full stop or comma are two matches of the pattern.
+        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        words = _stems(words, ended, self.known)
+        plain = [w for w in words if w.isalnum() or not self.odd.search(w)]
         for i in range(0, len(plain), AT_ONCE):
             some = plain[i : i + AT_ONCE]
             ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
@@ -60,6 +71,7 @@ class ByteLevelWords:
         rest = [w for w in words if w not in self.known]
         for w, e in zip(rest, self.tokenizer.encode_batch([" " + w for w in rest], add_special_tokens=False) if rest else [], strict=True):
             self.known[w] = np.array(e.ids, np.uint16).tobytes()
+        self.known.update((w, self.known[w[:-1]] + self.ends[w[-1]]) for w in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
@@ -78,7 +90,7 @@ class ByteLevelWords:
                     tails[i] = " " + f.pop()
                 new.update(w for w in f[1:] if w not in self.known)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         ids = [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch([*(f[0] for f in pieces), *tails.values()], add_special_tokens=False)]
         ends = dict(zip(tails, ids[len(pieces) :], strict=True))
         get = self.known.__getitem__
@@ -89,6 +101,16 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 _SPACES = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
+def _lowered(text: str | None) -> str:
+    """The text in lower case where that is plainly what the library does (Latin-1), so that fewer words differ."""
+    text = text or ""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class SpacedWords:
     """For the lower-case vocabulary that drops white space: any white space cuts."""
 
@@ -98,10 +120,13 @@ class SpacedWords:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ".,"}
 
     def learn(self, words: list[str]) -> None:
         # A word may hold several pre-tokens; a line of white space can't mark where a word ends, so a marker word stands between.
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        words = _stems(words, ended, self.known)
         clean = [w for w in words if "\x01" not in w]
         for i in range(0, len(clean) if len(mark) == 1 else 0, AT_ONCE):
             some = clean[i : i + AT_ONCE]
@@ -113,15 +138,16 @@ class SpacedWords:
         rest = [w for w in words if w not in self.known]
         for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
             self.known[w] = np.array(e.ids, np.uint16).tobytes()
+        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1]]) for w in ended)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         # str.split() also cuts at four control characters that are no white space to the library.
-        pieces = [((t or "").split() if not _CONTROLS.search(t or "") else _SPACES.split((t or "").strip(" \t\n"))) for t in texts]
+        pieces = [_SPACES.split(t.strip(" \t\n")) if _CONTROLS.search(t) else t.split() for t in map(_lowered, texts)]
         new = set().union(*pieces).difference(self.known)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 

@@ -474,9 +474,9 @@ def missing_tables(spark, d):
     return N.missing(have, n.where("n_nationkey % 4 = 1").select(F.lit("table").alias("kind"), F.col("n_name").alias("name")))
 
 
-@query(_seed(f"SELECT ev_id FROM evlog e WHERE (ev_txid < 1666 AND NOT (ev_txid % {S.STRIDE} = 0 AND ev_txid >= 1626)) AND NOT (ev_txid < 1333 AND NOT (ev_txid % {S.STRIDE} = 0 AND ev_txid >= 1293))"))
+@query(_seed(f"SELECT ev_id FROM evlog e WHERE (ev_txid < 1200 AND NOT (ev_txid % {S.STRIDE} = 0 AND ev_txid >= 1160)) AND NOT (ev_txid < 1100 AND NOT (ev_txid % {S.STRIDE} = 0 AND ev_txid >= 1060))"))
 def resurrect_lost(spark, d):
-    t = S.ticks(spark, d).where("tick_id in (10, 20)").groupBy().agg(F.max_by("tick_snapshot", "tick_id").alias("cur"), F.min_by("tick_snapshot", "tick_id").alias("last"))
+    t = S.ticks(spark, d).where("tick_id in (3, 6)").groupBy().agg(F.max_by("tick_snapshot", "tick_id").alias("cur"), F.min_by("tick_snapshot", "tick_id").alias("last"))
     return S.evlog(spark, d).join(t, visible(F.col("ev_txid"), F.col("cur")) & ~visible(F.col("ev_txid"), F.col("last"))).select("ev_id")
 
 

@@ -480,9 +480,9 @@ def resurrect_lost(spark, d):
     return S.evlog(spark, d).join(t, visible(F.col("ev_txid"), F.col("cur")) & ~visible(F.col("ev_txid"), F.col("last"))).select("ev_id")
 
 
-@query(_seed("SELECT 'public.users' AS ev_extra1, count(*) FILTER (op = 'I') AS inserts, count(*) FILTER (op = 'U') AS updates, count(*) FILTER (op = 'D') AS deletes, bool_and(op = 'I') AS can_rollback FROM batched WHERE batch_tick > 10"))
+@query(_seed("SELECT 'public.users' AS ev_extra1, count(*) FILTER (op = 'I') AS inserts, count(*) FILTER (op = 'U') AS updates, count(*) FILTER (op = 'D') AS deletes, bool_and(op = 'I') AS can_rollback FROM batched WHERE batch_tick > 5"))
 def resurrect_stats(spark, d):
-    return N.lost_stats(_log(spark, d).where("batch_tick > 10"))
+    return N.lost_stats(_log(spark, d).where("batch_tick > 5"))
 
 
 @query("SELECT event_type AS queue, count(*) AS n, max(event_id) AS last_ev FROM events GROUP BY 1")

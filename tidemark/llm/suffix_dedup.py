@@ -250,14 +250,13 @@ def _by_bucket(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _low(hashes: np.ndarray) -> bytes:
-    """Five bytes of each hash; the bucket stands for the rest. A false match only lets a run go to step 2."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Half of each hash; the bucket stands for more. A false match (one in
+    thousands, as a bucket has a bounded number) only lets a run go to step 2."""
+    return hashes.astype("<u4").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.frombuffer(data, "<u4")
 
 
 def _anchors(chunks: DataFrame, n: int) -> DataFrame:
@@ -448,7 +447,7 @@ def removed_mask(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, answer
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(with_bytes: bool):
+def _cut(with_spans: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows:
@@ -457,23 +456,25 @@ def _cut(with_bytes: bool):
             for k, a, b in zip(docs.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 g, text = gone[a:b], data[a:b]
                 n = int(g.sum())
-                kept = text[~g].tobytes() if n else text.tobytes()
                 spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if n else 0
-                if with_bytes:
-                    rows.append((None if k == NO_DOC else k, b - a, n, spans, hashlib.sha256(text.tobytes()).hexdigest(), kept if n else None))
+                if with_spans:
+                    edges = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0)) if n else []
+                    rows.append((None if k == NO_DOC else k, b - a, n, spans, hashlib.sha256(text.tobytes()).hexdigest(), np.asarray(edges, np.int64).tobytes()))
                 else:
+                    kept = text[~g].tobytes() if n else text.tobytes()
                     rows.append((None if k == NO_DOC else k, b - a, n, spans, hashlib.sha256(kept).hexdigest()))
-        types = [*[pa.int64()] * 4, pa.string(), *[pa.binary()] * with_bytes]
+        types = [*[pa.int64()] * 4, pa.string(), *[pa.binary()] * with_spans]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["text_sha256", "kept"] if with_bytes else ["kept_sha256"])]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["text_sha256", "spans"] if with_spans else ["kept_sha256"])]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
 
-def dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or (with_bytes)
-    text_sha256, of the text as it was, and kept, null where nothing goes.
+def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or (with_spans)
+    text_sha256, of the text as it was, and spans: the removed runs' starts and
+    ends in bytes, as 64-bit numbers in turn.
 
     A null text counts as empty; texts shorter than LENGTH bytes lose nothing;
     a null id counts as larger than all others; rows with one id are one
@@ -489,8 +490,8 @@ def dedup(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     bits = _anchors(chunks, n).groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
     fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lean_cogroup(_fragments(n)), "bucket int, chunk long, fragments binary")
     answers = fragments.groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
-    schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, kept binary") if with_bytes else SCHEMA
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_bytes)), schema)
+    schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, spans binary") if with_spans else SCHEMA
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_spans)), schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -499,7 +500,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     A row whose text loses nothing keeps it, null included. A bounded bitmap
     of the ids that lose something lets the other rows pass unshuffled.
     """
-    cut = dedup(docs, with_bytes=True).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), F.col("text_sha256").alias("__s_sha"), F.col("kept").alias("__s_kept"))
+    cut = dedup(docs, with_spans=True).where("n_removed > 0").select(F.col("doc_id").alias("__s_id"), F.col("text_sha256").alias("__s_sha"), F.col("spans").alias("__s_spans"))
     cut = pinned(cut)
     known = bitmap_of(cut.select("__s_id"))
 
@@ -508,15 +509,22 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series(known.has(i.fillna(0).to_numpy(np.int64))) | i.isna()
 
     @F.pandas_udf("string")
-    def decoded(v):
-        return v.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(texts, spans, strict=True):
+            if s is not None:
+                data = t.encode()
+                edges = [0, *np.frombuffer(s, np.int64).tolist(), len(data)]
+                t = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore")
+            out.append(t)
+        return pd.Series(out, dtype=object)
 
     tested = docs.select("*", maybe(F.col("doc_id").cast("long")).alias("__s_maybe"))
     # Rows of one id and one text lose the same bytes.
-    new = cut.groupBy("__s_id", "__s_sha").agg(F.first("__s_kept").alias("__s_kept"))
+    new = cut.groupBy("__s_id", "__s_sha").agg(F.first("__s_spans").alias("__s_spans"))
     asked = tested.where("__s_maybe").join(new, F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("__s_sha")), "left")
     hit = F.col("__s_sha").isNotNull()
-    asked = asked.withColumn("text", F.when(hit, decoded("__s_kept")).otherwise(F.col("text")))
+    asked = asked.withColumn("text", without("text", "__s_spans"))
     if "n_chars" in docs.columns:
         asked = asked.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return tested.where("not __s_maybe").select(*docs.columns).union(asked.select(*docs.columns))

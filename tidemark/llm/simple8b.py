@@ -35,6 +35,9 @@ END = 1
 #: Selector s holds COUNTS[s] ids of 60 // COUNTS[s] bits.
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 WIDTHS = 60 // COUNTS
+#: Exclusive limits of the widths, rising; and for small values the densest selector each fits.
+_LIMITS = (np.uint64(1) << WIDTHS[::-1].astype(np.uint64)).astype(np.uint64)
+_FITS = (len(COUNTS) - np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), side="right")).astype(np.int8) - np.int8(1)
 
 
 def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,19 +48,18 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
     escapes = np.stack([wide.astype(np.uint64), values[wide]], 1) if len(wide) else np.zeros((0, 2), np.uint64)
     plain = values.copy()
     plain[wide] = 0
-    # The densest selector at each place whose ids all fit; a block's end counts as room for zeros.
-    choice = np.zeros(n, np.int8)
+    # Of each value the densest selector it fits; of a place, the densest whose next ids all fit.
+    fits = _FITS[plain] if not n or plain.max() < len(_FITS) else (len(COUNTS) - np.searchsorted(_LIMITS, plain, side="right")).astype(np.int8) - 1
     padded = np.concatenate([plain, np.zeros(60, np.uint64)])
-    most, span = padded.copy(), 1
-    tops = {}
-    for c in (1, 2, 4, 8, 16, 32):
-        tops[c] = most[:n] if c == 1 else most[:n].copy()
-        most = np.maximum(most, np.concatenate([most[c:], np.zeros(c, np.uint64)]))
-        span *= 2
-    for s, (c, w) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True)):
-        p = 1 << (c.bit_length() - 1)
-        far = np.concatenate([tops[p], np.zeros(60, np.uint64)])[c - p : c - p + n]
-        choice[np.maximum(tops[p], far) < (1 << w)] = s
+    least = np.concatenate([fits, np.full(60, len(COUNTS) - 1, np.int8)])
+    choice = np.zeros(n, np.int8)
+    power, top = 1, int(fits.max(initial=0))
+    for s, c in enumerate(COUNTS[: top + 1].tolist()):
+        while 2 * power <= c:
+            least = np.minimum(least, np.concatenate([least[power:], np.full(power, len(COUNTS) - 1, np.int8)]))
+            power *= 2
+        good = np.minimum(least[:n], least[c - power : c - power + n]) >= s
+        choice[good] = s
     steps = COUNTS[choice].tolist()
     starts, firsts = [], []
     for b in range(0, n, block):

@@ -21,12 +21,24 @@ from ..session import share_package
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch at most: batches of whole texts are held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
     It is set here only where the session names none, and then only for a
     local master: a cluster without a shared folder is an error.
     """
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if found is None and context.getCheckpointDir() is not None:
@@ -64,6 +76,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,8 +17,10 @@ from .common import one_thread
 
 #: Words remembered per task; beyond it the memory starts anew (results stay the same).
 MOST_WORDS = 800_000
-#: Words in one call of the library, which slows down on long strings.
-AT_ONCE = 1000
+#: Words in one string given to the library, which slows down on long ones.
+AT_ONCE = 200
+#: ASCII punctuation but the apostrophe: after letters, a run of it is one match of both patterns.
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 @functools.cache
@@ -31,13 +33,35 @@ def _library(path: str):
     return made
 
 
-def _stems(words: list[str], ended: list[str], known: dict[str, bytes]) -> list[str]:
-    """The words to ask for: in place of those that end in a mark, their stems."""
-    rest = set(words).difference(ended)
-    rest.update(w for w in (w[:-1] for w in ended) if w not in known)
+def _marked(words: list[str]) -> dict[str, tuple[str, str]]:
+    """Of each word of letters and marks after them, both parts."""
+    found = ((w, _MARKED.fullmatch(w)) for w in words if not w.isalnum())
+    return {w: m.groups() for w, m in found if m and m[1].isalpha()}
+
+
+def _stems(words: list[str], parts: dict[str, tuple[str, str]], known: dict[str, bytes]) -> list[str]:
+    """The words to ask for: in place of those that end in marks, their stems."""
+    rest = set(words).difference(parts)
+    rest.update(stem for stem, _ in parts.values() if stem not in known)
     return list(rest)
 
 
+def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+    """Ids of each text, without the offsets that the library would else work out."""
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint16).tobytes()
+
+
+def _join(encoder: ByteLevelWords | SpacedWords, parts: dict[str, tuple[str, str]]) -> None:
+    """Words that end in marks: their stems' ids, then the marks'."""
+    new = list({m for _, m in parts.values()}.difference(encoder.marks))
+    encoder.marks.update(zip(new, map(_packed, _ids(encoder.tokenizer, new)), strict=True))
+    encoder.known.update((w, encoder.known[stem] + encoder.marks[m]) for w, (stem, m) in parts.items())
+
+
 class ByteLevelWords:
     """For byte-level BPE whose pattern takes one space before a word.
 
@@ -51,32 +75,31 @@ class ByteLevelWords:
         for token, i in self.tokenizer.get_vocab().items():
             self.heads[i] = token.startswith("Ġ")
         self.known: dict[str, bytes] = {}
-        self.ends = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ".,"}
+        self.marks: dict[str, bytes] = {}
         self.cut = re.compile(r"(?<=\S) (?=\S)")
         self.odd = re.compile(r"\s\s|\A\s|\s\Z")
 
     def learn(self, words: list[str]) -> None:
         """Ids of words that each follow a space."""
-        # Letters and one full stop or comma are two matches of the pattern.
-        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
-        words = _stems(words, ended, self.known)
+        parts = _marked(words)
+        words = _stems(words, parts, self.known)
         plain = [w for w in words if w.isalnum() or not self.odd.search(w)]
-        for i in range(0, len(plain), AT_ONCE):
-            some = plain[i : i + AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, np.uint16)
-            starts = np.flatnonzero(self.heads[ids])
+        groups = [plain[i : i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
+        for some, found in zip(groups, _ids(self.tokenizer, [" " + " ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, np.uint16)
+            starts = np.flatnonzero(self.heads[ids]).tolist()
             if len(starts) == len(some):
-                data, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-                self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
+                data, ends = ids.tobytes(), [*starts[1:], len(ids)]
+                self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(starts, ends, strict=True)), strict=True))
         rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.tokenizer.encode_batch([" " + w for w in rest], add_special_tokens=False) if rest else [], strict=True):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        self.known.update((w, self.known[w[:-1]] + self.ends[w[-1]]) for w in ended)
+        self.known.update(zip(rest, map(_packed, _ids(self.tokenizer, [" " + w for w in rest])), strict=True))
+        _join(self, parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null is empty."""
         if len(self.known) > MOST_WORDS:
             self.known.clear()
+            self.marks.clear()
         pieces = [(t or "").split(" ") for t in texts]
         new = set().union(*(f[1:] for f in pieces)).difference(self.known)
         # Where white space meets white space a space alone may not be cut at.
@@ -91,7 +114,7 @@ class ByteLevelWords:
                 new.update(w for w in f[1:] if w not in self.known)
         if new:
             self.learn(list(new))
-        ids = [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch([*(f[0] for f in pieces), *tails.values()], add_special_tokens=False)]
+        ids = list(map(_packed, _ids(self.tokenizer, [*(f[0] for f in pieces), *tails.values()])))
         ends = dict(zip(tails, ids[len(pieces) :], strict=True))
         get = self.known.__getitem__
         return [first + b"".join(map(get, f[1:])) + ends.get(i, b"") for i, (first, f) in enumerate(zip(ids, pieces, strict=False))]
@@ -120,29 +143,29 @@ class SpacedWords:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint16).tobytes() for c in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         # A word may hold several pre-tokens; a line of white space can't mark where a word ends, so a marker word stands between.
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
-        words = _stems(words, ended, self.known)
-        clean = [w for w in words if "\x01" not in w]
-        for i in range(0, len(clean) if len(mark) == 1 else 0, AT_ONCE):
-            some = clean[i : i + AT_ONCE]
-            ids = np.array(self.tokenizer.encode(" \x01 ".join([*some, ""]), add_special_tokens=False).ids, np.uint16)
-            stops = np.flatnonzero(ids == mark[0])
+        parts = _marked(words)
+        words = _stems(words, parts, self.known)
+        clean = [w for w in words if "\x01" not in w] if len(mark) == 1 else []
+        groups = [clean[i : i + AT_ONCE] for i in range(0, len(clean), AT_ONCE)]
+        for some, found in zip(groups, _ids(self.tokenizer, [" \x01 ".join([*g, ""]) for g in groups]), strict=True):
+            ids = np.array(found, np.uint16)
+            stops = np.flatnonzero(ids == mark[0]).tolist()
             if len(stops) == len(some):
-                data, begins = ids.tobytes(), [0, *(stops[:-1] + 1).tolist()]
-                self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(begins, stops.tolist(), strict=True)), strict=True))
+                data, begins = ids.tobytes(), [0, *(i + 1 for i in stops[:-1])]
+                self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(begins, stops, strict=True)), strict=True))
         rest = [w for w in words if w not in self.known]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1]]) for w in ended)
+        self.known.update(zip(rest, map(_packed, _ids(self.tokenizer, rest)), strict=True))
+        _join(self, parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
+            self.marks.clear()
         # str.split() also cuts at four control characters that are no white space to the library.
         pieces = [_SPACES.split(t.strip(" \t\n")) if _CONTROLS.search(t) else t.split() for t in map(_lowered, texts)]
         new = set().union(*pieces).difference(self.known)

@@ -60,15 +60,19 @@ def encode_words(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np
             power *= 2
         good = np.minimum(least[:n], least[c - power : c - power + n]) >= s
         choice[good] = s
-    steps = COUNTS[choice].tolist()
-    starts, firsts = [], []
-    for b in range(0, n, block):
-        firsts.append(len(starts))
-        i, end = b, min(n, b + block)
-        while i < end:
-            starts.append(i)
-            i += steps[i]
-    at = np.array(starts, np.int64)
+    # All blocks are walked at once, a word of each in a step.
+    steps, now = COUNTS[choice], np.arange(0, n, block)
+    limits, which = np.minimum(now + block, n), np.arange(len(now))
+    starts, owners = [], []
+    while len(now):
+        starts.append(now)
+        owners.append(which)
+        now = now + steps[now]
+        left = now < limits
+        if not left.all():
+            now, limits, which = now[left], limits[left], which[left]
+    at = np.sort(np.concatenate(starts)) if n else np.zeros(0, np.int64)
+    firsts = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(owners)))[:-1]]) if n else []
     words = choice[at].astype(np.uint64) << np.uint64(60) if n else np.zeros(0, np.uint64)
     ends = np.minimum(n, (at // block + 1) * block)
     for s, (c, w) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True)):

@@ -34,6 +34,18 @@ def test_ids_are_the_librarys(name):
         assert got == [want(t) for t in TEXTS]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_words_with_marks(name):
+    want, own = library(name), tokenization.words_of(P.path(name))
+    r = np.random.default_rng(3)
+    stems = ["end", "Maß", "é", "e\u0301", "日本", "ǅ", "ʰx", "ª", "don't", "a1", "x_y", "ſ", "İ", "\u0958", "\ufb2a", "ﬁ", "𝒜b", "ـ", ""]
+    marks = [".", ",", "!!", "***", ".%%%", "'", "'s", "...'", "\u0338", "=\u0338", "\x01", "\x1c", "…", "</w>", "<|endoftext|>", "_", "~}", "-b", "²", ""]
+    words = [a + b for a in stems for b in marks] + [b + a for a in stems for b in marks]
+    texts = [r.choice([" ", " ", "  ", "\n"]).join(r.choice(words, 40)) for _ in range(300)] + words
+    for _ in range(2):
+        assert [np.frombuffer(x, np.uint16).tolist() for x in own.encode(texts)] == [want(t) for t in texts]
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 

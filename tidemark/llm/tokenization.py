@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import numpy as np
 
@@ -36,7 +37,8 @@ def _library(path: str):
 def _marked(words: list[str]) -> dict[str, tuple[str, str]]:
     """Of each word of letters and marks after them, both parts."""
     found = ((w, _MARKED.fullmatch(w)) for w in words if not w.isalnum())
-    return {w: m.groups() for w, m in found if m and m[1].isalpha()}
+    # A letter that is a letter and an accent in lower case or composed form would have the marks join the accent.
+    return {w: m.groups() for w, m in found if m and (m[1].isascii() or unicodedata.normalize("NFC", m[1]).lower().isalpha())}
 
 
 def _stems(words: list[str], parts: dict[str, tuple[str, str]], known: dict[str, bytes]) -> list[str]:

@@ -36,6 +36,54 @@ def test_graph_finds_neighbours():
     assert recall >= 0.99 and len(truth & set(zip(q.tolist(), x.tolist(), strict=True))) >= 0.97 * len(truth)
 
 
+def test_audit_pools_shards_and_weighs_a_hot_group_once(spark):
+    r = np.random.default_rng(9)
+    base = r.normal(size=(1200, 24))
+    pairs = base[:90] + r.normal(size=(90, 24)) * 0.05  # a few vectors have one link
+    hot = base[-1] + r.normal(size=(300, 24)) * 0.05  # and many one another
+    v = np.concatenate([base, pairs, hot])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    true = unit @ unit.T >= 0.95
+    np.fill_diagonal(true, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+
+    record = {}
+    got = {x.vec_id: x.n_links for x in V.near_duplicates(df, record=record).collect()}
+    assert got == {i: int(n) for i, n in enumerate(true.sum(1))}
+    assert record["linked"] == int(true.any(1).sum()) and record["queries"] == len(v) and record["recall"] >= V.RECALL
+    assert 90 <= record["groups"] <= 95
+
+
+def test_a_link_found_from_one_end_counts_at_both():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(40, 16))
+    y = x + r.normal(size=(40, 16)) * 0.02
+    made = []
+    for shard, v in enumerate((x, y)):
+        t = pa.table({"dims": [128] * 40, "shards": [2] * 40, "shard": [shard] * 40, "rep": list(range(100 * shard, 100 * shard + 40)), "n": [1] * 40, "vec": [w.tobytes() for w in v]})
+        made.append(V._graphs(t))
+    both = pa.concat_tables(made)
+    near = V.Graph.near
+    ends = []
+    try:
+        V.Graph.near = lambda self, q, least, width: (np.arange(len(q)), self.order[np.argmax(q @ self.v.T, 1)])
+        asked = pa.table({"rep": list(range(40)), "vec": [w.tobytes() for w in x]})
+        # A search that finds nothing but the query itself has a recall of 0.
+        assert V._tallied(0.95, V.BEAM)(made[0], asked).num_rows == 0
+        own = V._tallied(0.95, V.BEAM)(made[1], asked).to_pydict()
+        assert own["low"] == list(range(100, 140)) and own["truth"] == own["got"] == [1] * 40
+        for blind in (0, 1, 2):
+            calls = iter(range(2))
+            V.Graph.near = lambda self, q, least, width: (np.zeros(0, np.int64),) * 2 if next(calls) == blind else near(self, q, least, width)  # noqa: B023
+            out = V._searched(0.95, V.BEAM)(both).to_pylist()
+            ends.append(sorted((o["a"], o["n"]) for o in out if o["n"]))
+    finally:
+        V.Graph.near = near
+    assert ends[0] == ends[1] == ends[2] == sorted((i, 1) for s in (0, 100) for i in range(s, s + 40))
+
+
 def test_cascade_is_exact():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 62, 5000).astype(np.uint64))

@@ -1,15 +1,19 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
 Vectors are dealt to shards; each shard builds a graph of its vectors; every
-vector then searches every shard. A search's beam widens until an audit
-against brute force finds enough of the true links; every link found is
-verified by its cosine in double precision. Links are counted and reduced to
-a spanning forest where they are found, so a group of close vectors never
-leaves a task as its pairs. Exact copies of a vector are one class throughout.
+vector then searches every shard. Before that, an audit compares searches of
+queries from the whole table with brute force, pooled over all shards, and
+widens the beam until enough of the true links are found. Two shards search
+each other in one task, so a link that either end finds counts at both; every
+link found is verified by its cosine in double precision. Links are counted
+and reduced to a spanning forest where they are found, so a group of close
+vectors never leaves a task as its pairs. Exact copies of a vector are one
+class throughout.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -24,8 +28,8 @@ from .components import components
 M, BUILD_BEAM, BEAM = 12, 48, 32
 #: Vectors of a shard at most, shards at least, vectors searched in one vector step.
 SHARD, LEAST_SHARDS, BLOCK = 65_536, 8, 512
-#: An audit brute-forces so many of a task's searches; it passes at this recall.
-AUDIT, RECALL = 64, 0.995
+#: An audit begins with so many queries and doubles them until so many groups of linked ones are seen or all are in it; it passes at this recall.
+AUDIT, LINKED, RECALL = 4096, 256, 0.995
 #: Single-precision similarities this much under the threshold are verified, too.
 SLACK = 1e-4
 
@@ -234,22 +238,42 @@ class Graph:
 
 
 def audited(graph: Graph, q: np.ndarray, least: float, width: int = BEAM) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """(query, row, width, recall): found with the first beam width whose recall
-    on AUDIT queries, spread over all, passes; in the end that of brute force."""
+    """(query, row, width, recall) of one graph: found with the first beam width
+    whose mean recall of the queries with true rows passes; in the end that of
+    brute force. All queries up to AUDIT are audited, spread over all."""
     some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    truth = int((q[some] @ graph.v.T >= least).sum())
+    truth = _crossed(graph, q[some], least)
+    n = len(graph.v)
+    want = np.bincount(truth[0], minlength=len(some))
     while True:
-        got = len(graph.near(q[some], least, width)[0])
-        recall = got / truth if truth else 1.0
-        if recall >= RECALL or width >= len(graph.v) // 2:
+        r, x = _near(graph, q[some], least, width)
+        hit = np.isin(truth[0] * n + truth[1], r * n + x)
+        got = np.bincount(truth[0][hit], minlength=len(some))
+        recall = float((got[want > 0] / want[want > 0]).mean()) if want.any() else 1.0
+        if recall >= RECALL or width >= n // 2:
             break
         width *= 2
-    a, b = [], []
+    return *_near(graph, q, least, width), width, recall
+
+
+def _near(graph: Graph, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Graph.near, block by block."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(q), BLOCK):
         r, x = graph.near(q[i : i + BLOCK], least, width)
         a.append(r + i)
         b.append(x)
-    return np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]), width, recall
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _crossed(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same by brute force."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(q), BLOCK // 4):
+        r, x = np.nonzero(q[i : i + BLOCK // 4] @ graph.v.T >= least)
+        a.append(r + i)
+        b.append(graph.order[x])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,41 +326,118 @@ def _graphs(table: pa.Table) -> pa.Table:
     """A shard: its ids, weights, vectors and graph, as one row."""
     table = table.sort_by("rep")
     x, unit = _stacked(table["vec"].to_pylist())
-    row = {"shard": [table["shard"][0].as_py()], "dims": [x.shape[1]], "ids": [np.asarray(table["rep"]).tobytes()], "weights": [np.asarray(table["n"]).tobytes()], "vectors": [x.tobytes()], "graph": [Graph(unit.astype(np.float32)).dump()]}
-    return pa.table({"shard": pa.array(row["shard"], pa.int32()), "dims": pa.array(row["dims"], pa.int32()), **{k: pa.array(row[k], pa.binary()) for k in ("ids", "weights", "vectors", "graph")}})
+    row = {"dims": [table["dims"][0].as_py()], "shards": [table["shards"][0].as_py()], "shard": [table["shard"][0].as_py()], "ids": [np.asarray(table["rep"]).tobytes()], "weights": [np.asarray(table["n"]).tobytes()], "vectors": [x.tobytes()], "graph": [Graph(unit.astype(np.float32)).dump()]}
+    return pa.table({**{k: pa.array(row[k], pa.int32()) for k in ("dims", "shards", "shard")}, **{k: pa.array(row[k], pa.binary()) for k in ("ids", "weights", "vectors", "graph")}})
+
 
+class _Shard:
+    """A row of _graphs, opened."""
+
+    def __init__(self, row: dict):
+        self.ids, self.weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(len(self.ids), -1)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        unit = self.x / self.norm[:, None]
+        self.unit = unit.astype(np.float32)
+        self.graph = Graph.load(unit, row["graph"])
+
+
+def _linked(qx: np.ndarray, x: np.ndarray, norm: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows of qx and x have a cosine of at least least."""
+    good = np.zeros(len(r), bool)
+    qn = np.sqrt((qx * qx).sum(1))
+    for i in range(0, len(r), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        good[s] = np.einsum("nd,nd->n", qx[r[s]], x[c[s]]) / (qn[r[s]] * norm[c[s]]) >= least
+    return good
+
+
+def _tallied(least: float, width: int):
+    """Audit queries against a shard: per query the smallest id among its true
+    links, itself left out, their number, and how many of them a search finds."""
 
-def _searched(least: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)], "n": [np.zeros(0, np.int64)]}
+        out = [np.zeros(0, np.int64)] * 4
         if left.num_rows and right.num_rows:
-            row = left.to_pylist()[0]
-            ids, weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
-            x, unit = _stacked([row["vectors"][i : i + 8 * row["dims"]] for i in range(0, len(row["vectors"]), 8 * row["dims"])])
-            graph = Graph.load(unit, row["graph"])
-            norm = np.sqrt((x * x).sum(1))
-            mine = np.asarray(right["rep"])
+            shard = _Shard(left.to_pylist()[0])
+            mine, n = np.asarray(right["rep"]), len(shard.ids)
             qx, qu = _stacked(right["vec"].to_pylist())
-            r, c, _, _ = audited(graph, qu.astype(np.float32), least - SLACK)
-            good = np.zeros(len(r), bool)
-            qn = np.sqrt((qx * qx).sum(1))
-            for i in range(0, len(r), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                good[s] = np.einsum("nd,nd->n", qx[r[s]], x[c[s]]) / (qn[r[s]] * norm[c[s]]) >= least
-            r, c = r[good], c[good]
-            other = mine[r] != ids[c]
-            r, c = r[other], c[other]
-            links = np.bincount(r, weights[c], minlength=len(mine)).astype(np.int64)
-            some = np.flatnonzero(links)
-            a, b = forest(mine[r], ids[c])
-            # Counts are rows (id, null, n), tree edges rows (a, b, 0).
-            out = {"a": [mine[some], a], "b": [np.full(len(some), -1), b], "n": [links[some], np.zeros(len(a), np.int64)]}
+            q = qu.astype(np.float32)
+            r, c = _crossed(shard.graph, q, least - SLACK)
+            true = _linked(qx, shard.x, shard.norm, r, c, least) & (mine[r] != shard.ids[c])
+            r, c = r[true], c[true]
+            a, b = _near(shard.graph, q, least - SLACK, width)
+            hit = np.isin(r * n + c, a * n + b)
+            low = np.full(len(mine), np.iinfo(np.int64).max)
+            np.minimum.at(low, r, shard.ids[c])
+            truth, got = np.bincount(r, minlength=len(mine)), np.bincount(r[hit], minlength=len(mine))
+            some = np.flatnonzero(truth)
+            out = [mine[some], low[some], truth[some], got[some]]
+        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in zip(("rep", "low", "truth", "got"), out, strict=True)})
+
+    return run
+
+
+def _searched(least: float, width: int):
+    """Two shards, or one and itself: each searches the other's graph."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shards = [_Shard(row) for row in table.sort_by("shard").to_pylist()]
+        x, y = shards[0], shards[-1]
+        n = len(y.ids)
+        q, c = _near(x.graph, y.unit, least - SLACK, width)
+        if x is y:
+            keys = np.unique(np.minimum(q, c) * n + np.maximum(q, c))
+        else:
+            keys = c * n + q
+            q, c = _near(y.graph, x.unit, least - SLACK, width)
+            keys = np.unique(np.concatenate([keys, q * n + c]))
+        r, c = keys // max(n, 1), keys % max(n, 1)
+        good = (x.ids[r] != y.ids[c]) & _linked(x.x, y.x, y.norm, r, c, least)
+        r, c = r[good], c[good]
+        ends = [(x.ids, np.bincount(r, y.weights[c], minlength=len(x.ids))), (y.ids, np.bincount(c, x.weights[r], minlength=n))]
+        ids, links = (np.concatenate(v) for v in zip(*ends, strict=True))
+        some = np.flatnonzero(links)
+        a, b = forest(x.ids[r], y.ids[c])
+        # Counts are rows (id, null, n), tree edges rows (a, b, 0).
+        out = {"a": [ids[some], a], "b": [np.full(len(some), -1), b], "n": [links[some], np.zeros(len(a), np.int64)]}
         return pa.table({k: pa.array(np.concatenate(v).astype(np.int64)) for k, v in out.items()})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, column: str = "embedding") -> DataFrame:
+def _audit(graphs: DataFrame, placed: DataFrame, least: float) -> dict:
+    """The beam width for the search, and what its audit saw.
+
+    Recall is the share of a query's true links in all shards that its own
+    searches find, itself left out, of the queries that have any. It is
+    averaged over queries and over groups, of queries with the same smallest
+    id among themselves and their links; the lower mean counts, so neither a
+    hot group nor the many small ones hide what the others lose. As the search
+    takes what either end finds, it is a lower bound.
+    """
+    total = placed.count()
+    top = graphs.agg(F.max(F.octet_length("ids")).alias("n")).first()["n"] // 8
+    size, width = AUDIT, BEAM
+    while True:
+        size = min(size, total)
+        share = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 40)) < math.ceil(size / total * (1 << 40))
+        groups = -(-size // SHARD)
+        asked = placed.where(share).select("dims", "rep", "vec", F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(groups)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        found = spread.groupBy("dims", "shard", "part").cogroup(asked.groupBy("dims", "shard", "part")).applyInArrow(lean_cogroup(_tallied(least, width)), "rep long, low long, truth long, got long")
+        each = found.groupBy("rep").agg(F.least(F.col("rep"), F.min("low")).alias("low"), (F.sum("got") / F.sum("truth")).alias("r"))
+        seen = each.groupBy("low").agg(F.avg("r").alias("g"), F.sum("r").alias("s"), F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum("n").alias("linked"), F.avg("g").alias("g"), (F.sum("s") / F.sum("n")).alias("q")).first()
+        if seen["groups"] < LINKED and size < total:
+            size *= 2
+            continue
+        recall = min(seen["g"], seen["q"]) if seen["groups"] else None
+        if recall is None or recall >= RECALL or width >= top // 2:
+            return {"width": width, "recall": recall, "queries": size, "linked": seen["linked"] or 0, "groups": seen["groups"]}
+        width *= 2
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, column: str = "embedding", record: dict | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
@@ -344,31 +445,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, column: str = "embe
     are linked with one another. Rows of one id count as different rows of the
     same vector id; a null id links with nothing, its component null, and is
     kept. Other columns are ignored; an empty table gives an empty table.
+    What the audit of the search measured is logged and put into record.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("v"))
     rows = pinned(_vectors(given))
     good = rows.where("key is not null and vec_id is not null")
     classes = pinned(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
     dims = [r["d"] for r in classes.select(F.octet_length("vec").alias("d")).distinct().limit(1000).collect()]
-    forests, counts = [], []
-    for d in sorted(dims):
-        mine = classes.where(F.octet_length("vec") == d)
-        total = mine.count()
-        shards = max(LEAST_SHARDS, -(-total // SHARD))
-        groups = max(1, total // (16 * BLOCK * LEAST_SHARDS))
-        placed = mine.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), "rep", "n", "vec")
-        graphs = pinned(placed.groupBy("shard").applyInArrow(lean_group(_graphs), "shard int, dims int, ids binary, weights binary, vectors binary, graph binary"))
-        # Every shard meets every block of queries: the stated query set is all vectors.
-        asked = mine.select("rep", "vec", F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(groups)).cast("int").alias("part")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        out = pinned(spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(lean_cogroup(_searched(least)), "a long, b long, n long"))
-        forests.append(out.where("n = 0").select("a", "b"))
-        counts.append(out.where("n > 0").select("a", "n"))
+    sized = classes.groupBy(F.octet_length("vec").alias("dims")).agg(F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.count("*") / SHARD)).cast("int").alias("shards")).where(F.col("dims").isin(dims))
     if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    edges, links = forests[0], counts[0]
-    for e, c in zip(forests[1:], counts[1:], strict=True):
-        edges, links = edges.union(e), links.union(c)
+    placed = classes.withColumn("dims", F.octet_length("vec")).join(F.broadcast(sized), "dims").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    kinds = "dims int, shards int, shard int, ids binary, weights binary, vectors binary, graph binary"
+    graphs = pinned(placed.select("dims", "shards", "shard", "rep", "n", "vec").groupBy("dims", "shard").applyInArrow(lean_group(_graphs), kinds))
+    audit = _audit(graphs, placed, least)
+    logging.getLogger(__name__).info("audit of the search: %s", audit)
+    if record is not None:
+        record.update(audit)
+    # Every shard meets every other and itself: the stated query set is all vectors.
+    met = graphs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumns({"i": F.least("shard", "other"), "j": F.greatest("shard", "other")})
+    out = pinned(met.groupBy("dims", "i", "j").applyInArrow(lean_group(_searched(least, audit["width"])), "a long, b long, n long"))
+    edges, links = out.where("n = 0").select("a", "b"), out.where("n > 0").select("a", "n")
     comps = components(edges).toDF("rep", "c")
     summed = links.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
     named = classes.select("key", "rep", "n").join(comps, "rep", "left").join(summed, "rep", "left").select("key", F.coalesce("c", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))

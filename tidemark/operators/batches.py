@@ -43,6 +43,25 @@ def assign_batches(events: DataFrame, ticks: DataFrame, bucket: int = BUCKET) ->
     return full.select(*events.columns, F.when(F.col("txid").isNotNull(), F.col("held_tick")).otherwise(F.col("range_tick")).alias("batch_tick"))
 
 
+def visible_counts(events: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Per tick (tick_id, n_visible): the events that its snapshot shows.
+
+    Those of transactions below its xmax, less those it holds as running. The
+    former are summed per bucket of transactions, and by rank only within the
+    bucket that xmax falls into, so no tick meets the whole log; the running
+    totals are over buckets, one row each.
+    """
+    by_tx = events.groupBy("ev_txid").agg(F.count("*").alias("n")).withColumn("b", F.expr(f"ev_txid div {BUCKET}"))
+    t = ticks.select("tick_id", F.col("tick_snapshot.xmax").alias("xmax"), F.col("tick_snapshot.xip").alias("xip")).withColumn("b", F.expr(f"xmax div {BUCKET}"))
+    needed = by_tx.groupBy("b").agg(F.sum("n").alias("n")).unionByName(t.select("b").distinct().withColumn("n", F.lit(0).cast("long"))).groupBy("b").agg(F.sum("n").alias("n"))
+    whole = needed.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("below"))
+    part = t.join(by_tx, "b").where("ev_txid < xmax").groupBy("tick_id").agg(F.sum("n").alias("inside"))
+    held = t.select("tick_id", "xmax", F.explode(F.array_distinct("xip")).alias("ev_txid")).where("ev_txid < xmax").join(by_tx.select("ev_txid", "n"), "ev_txid").groupBy("tick_id").agg(F.sum("n").alias("held"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    full = t.select("tick_id", "b").join(whole, "b").join(part, "tick_id", "left").join(held, "tick_id", "left")
+    return full.select("tick_id", (F.col("below") + none(F.col("inside")) - none(F.col("held"))).alias("n_visible"))
+
+
 def between(events: DataFrame, last: Column, cur: Column, lo: int | None = None, hi: int | None = None, owner: int | None = None) -> DataFrame:
     """Events visible in cur and not in last, of no owner or the given one.
     lo and hi (inclusive) bound their transactions; as plain conjuncts they

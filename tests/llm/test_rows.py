@@ -84,6 +84,12 @@ def test_a_link_found_from_one_end_counts_at_both():
     assert ends[0] == ends[1] == ends[2] == sorted((i, 1) for s in (0, 100) for i in range(s, s + 40))
 
 
+def test_vectors_of_any_number_of_lengths(spark):
+    df = spark.range(2010).selectExpr("id AS vec_id", "array_repeat(double(id % 2 + 1), int(id div 2 + 1)) AS embedding")
+    got = [(x.vec_id, x.n_links, x.component_id) for x in V.near_duplicates(df).collect()]
+    assert sorted(got) == [(i, 1, i - i % 2) for i in range(2010)]
+
+
 def test_cascade_is_exact():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 62, 5000).astype(np.uint64))

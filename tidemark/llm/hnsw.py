@@ -451,10 +451,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, column: str = "embe
     rows = pinned(_vectors(given))
     good = rows.where("key is not null and vec_id is not null")
     classes = pinned(good.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")))
-    dims = [r["d"] for r in classes.select(F.octet_length("vec").alias("d")).distinct().limit(1000).collect()]
-    sized = classes.groupBy(F.octet_length("vec").alias("dims")).agg(F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.count("*") / SHARD)).cast("int").alias("shards")).where(F.col("dims").isin(dims))
-    if not dims:
+    if not classes.count():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Each length has shards of its own, LEAST_SHARDS at least where there are enough vectors for a block in each.
+    most = F.greatest(F.ceil(F.count("*") / SHARD), F.least(F.lit(LEAST_SHARDS), F.ceil(F.count("*") / BLOCK)))
+    sized = classes.groupBy(F.octet_length("vec").alias("dims")).agg(most.cast("int").alias("shards"))
     placed = classes.withColumn("dims", F.octet_length("vec")).join(F.broadcast(sized), "dims").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     kinds = "dims int, shards int, shard int, ids binary, weights binary, vectors binary, graph binary"
     graphs = pinned(placed.select("dims", "shards", "shard", "rep", "n", "vec").groupBy("dims", "shard").applyInArrow(lean_group(_graphs), kinds))

@@ -144,6 +144,23 @@ def test_network_learns_and_gradients_agree():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-3
 
 
+def test_training_sees_all_of_a_long_text(spark, monkeypatch):
+    long = "".join(chr(97 + i % 26) for i in range(30_000))
+    docs = spark.createDataFrame([(i, long + str(i)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen, steps = [], []
+    monkeypatch.setattr(Q, "train", lambda texts, y: seen.append(texts))
+    Q.fit(docs, labels)
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 200_000)
+    Q.fit(docs, labels)
+    assert len(seen[0]) > len(seen[1]) == 6 and all(len(t) > 30_000 for texts in seen for t in texts)
+    monkeypatch.undo()
+    whole = Q.Network.gradients
+    monkeypatch.setattr(Q.Network, "gradients", lambda self, rows, owner, *a: steps.append(np.bincount(owner)) or whole(self, rows, owner, *a))
+    Q.train(seen[1][:2], np.array([0, 1]), steps=1, batch=4)
+    assert (steps[0] == len(Q.chunk_starts(len(seen[1][0])))).all()
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 255, 256, 257, 5000):
         seen = np.zeros(n, bool)

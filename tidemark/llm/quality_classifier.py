@@ -23,8 +23,10 @@ from .common import lean, sliced, utf8
 CHUNK, OVERLAP = 256, 32
 #: Filter width and step in bytes; byte dimensions; filters; chunk and document features.
 WIDTH, STEP, DIMS, FILTERS, FEATURES, HIDDEN = 8, 4, 8, 48, 32, 24
-#: The documented bound of the training sample: rows, and chunks of each row (spread over its whole text).
-SAMPLE_ROWS, SAMPLE_CHUNKS = 6000, 12
+#: The documented bound of the training sample: rows, and bytes of their texts (fewer rows are taken, each whole).
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 20
+#: Chunks in one numpy step.
+AT_ONCE = 512
 THRESHOLD = 0.3
 
 
@@ -34,14 +36,11 @@ def chunk_starts(n: int) -> np.ndarray:
     return np.arange(0, max(1, -(-(n - OVERLAP) // step)), dtype=np.int64) * step
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(chunks as rows of byte + 1, 0 beyond the end; each chunk's document).
-    most: that many chunks of a document at most, evenly spread (for training)."""
+def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks as rows of byte + 1, 0 beyond the end; each chunk's document)."""
     starts, owner = [], []
     for i in range(len(offsets) - 1):
         s = chunk_starts(int(offsets[i + 1] - offsets[i]))
-        if most and len(s) > most:
-            s = s[np.linspace(0, len(s) - 1, most).astype(int)]
         starts.append(s + offsets[i])
         owner.append(np.full(len(s), i))
     at, owner = np.concatenate(starts), np.concatenate(owner)
@@ -67,7 +66,7 @@ class Network:
         return cls(w)
 
     def _maxima(self, rows: np.ndarray, keep: bool = False):
-        """Each chunk's filter maxima, and what training needs of the way there."""
+        """Each chunk's filter maxima, above zero and as they are, and their places if kept."""
         w = self.weights
         e = w["bytes"][rows].reshape(len(rows), CHUNK * DIMS)
         view = np.lib.stride_tricks.sliding_window_view(e, WIDTH * DIMS, axis=1)[:, :: STEP * DIMS]
@@ -75,7 +74,7 @@ class Network:
         z = (flat @ w["filters"]).reshape(len(rows), -1, FILTERS)
         where = z.argmax(1) if keep else None
         m = z.max(1) + w["filters_bias"]
-        return np.maximum(m, 0), m, where, flat
+        return np.maximum(m, 0), m, where
 
     def features(self, rows: np.ndarray) -> np.ndarray:
         m = self._maxima(rows)[0]
@@ -88,7 +87,7 @@ class Network:
         z = (h @ self.weights["out"] + self.weights["out_bias"])[:, 0].astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
-    def score(self, data: np.ndarray, offsets: np.ndarray, at_once: int = 512) -> np.ndarray:
+    def score(self, data: np.ndarray, offsets: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
         """Probabilities of the documents data[offsets[i]:offsets[i + 1]]."""
         if len(offsets) < 2:
             return np.zeros(0)
@@ -98,7 +97,8 @@ class Network:
 
     def gradients(self, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
-        relu_m, m, where, flat = self._maxima(rows, keep=True)
+        blocks = [slice(i, i + AT_ONCE) for i in range(0, len(rows), AT_ONCE)]
+        relu_m, m, where = (np.concatenate(x) for x in zip(*(self._maxima(rows[b], keep=True) for b in blocks), strict=True))
         zc = relu_m @ w["chunk"] + w["chunk_bias"]
         c = np.maximum(zc, 0)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -122,14 +122,15 @@ class Network:
         dm = (dc @ w["chunk"].T) * (m > 0)
         g["filters_bias"] = dm.sum(0)
         # Only the winning place of each filter in each chunk has a gradient.
-        places = flat.reshape(len(rows), -1, WIDTH * DIMS)
-        won = np.take_along_axis(places, where[:, :, None], axis=1)
-        g["filters"] = np.einsum("nfk,nf->kf", won, dm, optimize=True)
-        de = dm[:, :, None] * w["filters"].T[None]
-        at = where[:, :, None] * STEP + np.arange(WIDTH)
-        byte = np.take_along_axis(rows, at.reshape(len(rows), -1), axis=1).ravel()
-        flat_de = de.reshape(-1, DIMS)
-        g["bytes"] = np.stack([np.bincount(byte, flat_de[:, k], minlength=257) for k in range(DIMS)], 1).astype(np.float32)
+        g["filters"], g["bytes"] = np.zeros_like(w["filters"]), np.zeros((257, DIMS))
+        for b in blocks:
+            at = where[b][:, :, None] * STEP + np.arange(WIDTH)
+            byte = np.take_along_axis(rows[b], at.reshape(len(at), -1), axis=1)
+            won = w["bytes"][byte].reshape(len(at), FILTERS, WIDTH * DIMS)
+            g["filters"] += np.einsum("nfk,nf->kf", won, dm[b], optimize=True)
+            flat_de = (dm[b][:, :, None] * w["filters"].T[None]).reshape(-1, DIMS)
+            g["bytes"] += np.stack([np.bincount(byte.ravel(), flat_de[:, k], minlength=257) for k in range(DIMS)], 1)
+        g["bytes"] = g["bytes"].astype(np.float32)
         g["bytes"][0] = 0
         return g
 
@@ -143,9 +144,6 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
         net.weights["out"][:] = 0
         net.weights["out_bias"][:] = 4.0 if len(labels) and labels[0] == 1 else (-4.0 if len(labels) else 0.0)
         return net
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    rows, owner = chunked(np.frombuffer(b"".join(texts), np.uint8), offsets, SAMPLE_CHUNKS)
-    firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
     r = np.random.default_rng(seed)
     one, zero = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items()}
@@ -154,8 +152,10 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int =
         chosen = np.concatenate([r.choice(one, batch // 2), r.choice(zero, batch // 2)])
         share = np.where(labels[chosen] == 1, len(one), len(zero)).astype(np.float32)
         share = np.sqrt(share / len(labels))
-        spans = [np.arange(firsts[i], firsts[i + 1]) for i in chosen]
-        g = net.gradients(rows[np.concatenate(spans)], np.repeat(np.arange(len(chosen)), [len(s) for s in spans]), labels[chosen], share)
+        # All chunks of a text, as in scoring.
+        some = [texts[i] for i in chosen]
+        rows, owner = chunked(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        g = net.gradients(rows, owner, labels[chosen], share)
         now = rate * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, v in net.weights.items():
             a, b = moments[k]
@@ -171,31 +171,23 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """Fits on at most ``rows`` labelled rows that aren't held out: those whose
-    hashed id is smallest, so the sample is the same whatever the layout. Only
-    their text and label are seen; of a text SAMPLE_CHUNKS chunks at most.
+    hashed id is smallest, so the sample is the same whatever the layout. Where
+    their texts have more than SAMPLE_BYTES, fewer rows are taken in that order.
+    Only text and label are seen, the text whole.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~F.coalesce(held_out("doc_id"), F.lit(False))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # rows bounds the broadcast
 
-    def cut(batches):
-        # Of a long text the sampled chunks only, end to end: a bounded number of bytes per row.
-        step = CHUNK - OVERLAP
-        for whole in batches:
-            for batch in sliced(whole):
-                data, offsets = utf8(batch)
-                out = []
-                for i in range(batch.num_rows):
-                    t = data[offsets[i] : offsets[i + 1]].tobytes()
-                    s = chunk_starts(len(t))
-                    if len(s) > SAMPLE_CHUNKS:
-                        t = b"".join(t[a : a + step] for a in s[np.linspace(0, len(s) - 1, SAMPLE_CHUNKS).astype(int)])
-                    out.append(t)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "text", "quality"])
-
-    sample = found.select("doc_id", F.col("text").cast("string").alias("text"), F.col("quality").cast("int").alias("quality")).mapInArrow(lean(cut), "doc_id long, text binary, quality int")
-    got = sorted(sample.collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
-    return train([bytes(r["text"]) for r in got], np.array([r["quality"] for r in got]))
+    sample = found.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("h"))
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in sample.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect())
+    fits = int((np.cumsum([n for _, _, n in sizes]) <= SAMPLE_BYTES).sum())
+    if fits < len(sizes):
+        # Up to the first row that doesn't fit; one row at least.
+        h, doc_id, _ = sizes[max(fits, 1) - 1]
+        sample = sample.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") <= F.lit(doc_id))))
+    got = sorted(([r["doc_id"], bytes(r["text"] or b""), r["quality"]] for r in sample.collect()), key=lambda r: r[:2])
+    return train([r[1] for r in got], np.array([r[2] for r in got]))
 
 
 def scored(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:

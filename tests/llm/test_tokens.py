@@ -117,6 +117,23 @@ def test_files_hold_all_documents_in_order(spark, tmp_path, monkeypatch):
     assert simple8b.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_files_split_a_hot_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simple8b, "RANGE_DOCS", 3)
+    rows = [(7 if i % 3 else (None if i % 2 else i), f"text {i} of many", "x") for i in range(60)]
+    path = str(tmp_path / "ids")
+    simple8b.write(spark.createDataFrame(rows, "doc_id long, text string, range string"), P.path("word_bpe_49k.json"), path)
+    got = sorted(simple8b.read(spark, path).collect(), key=lambda r: r.start)
+    keys = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(-1 if i is None else i for i, *_ in rows)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    plain = tokenization.encode([t for _, t, _ in rows], P.path("word_bpe_49k.json"))
+    assert sorted(tuple(r.ids) for r in got) == sorted((*x.tolist(), 1) for x in plain)
+    files = spark.read.format("binaryFile").load(path)
+    assert files.select("range").distinct().count() > 8
+    one = files.select("content", "n_ids").first()
+    assert sum(map(len, simple8b.read_file(one["content"])[1])) == one["n_ids"]
+
+
 def test_words_of_license_scan(spark):
     from tidemark.llm import license_scan
 

@@ -21,15 +21,17 @@ from ..session import share_package
 SLICE_BYTES = 2 << 20
 
 
-#: Rows of an Arrow batch at most: batches of whole texts are held by the JVM and by Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: batches of whole texts are held by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to BATCH_ROWS where it is larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's Arrow batch sizes to BATCH_ROWS and BATCH_BYTES where they are larger."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        found = spark.conf.get(name)
+        if not (found.isdigit() and 0 < int(found) <= most):
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -116,12 +116,14 @@ def write_file(doc_ids: list[int], documents: list[np.ndarray], block: int = BLO
 
 
 def read_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
-    """(document ids, each document's uint32 or uint64 ids); a damaged file is an error."""
-    if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
-        raise ValueError("checksum mismatch")
+    """(document ids, each document's uint32 or uint64 ids); a damaged file is
+    an error, bytes after its end are none of it."""
     magic, version, docs, n, n_words, n_escapes, block = HEADER.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token-id file of this version")
+    end = HEADER.size + 12 * docs + 4 * -(-n // block) + 8 * n_words + 16 * n_escapes
+    if len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+        raise ValueError("checksum mismatch")
     at = HEADER.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -137,26 +139,27 @@ def read_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if k == -(1 << 63) else k for k in keys.tolist()], np.split(ids, np.cumsum(lengths.astype(np.int64))[:-1]) if docs else []
 
 
-FILE_SCHEMA = "range int, part int, n_docs long, n_ids long, data binary"
-
-
 def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Writes docs' ids (the end id after each document) as files in ascending
     order of the key.
 
-    The files' bytes are rows of a table at path, written by Spark, so any
-    store that Spark writes will do: (range, part) orders the files. Ranges of
-    the key come from its quantiles; within a range a task streams its sorted
-    rows and closes a file at FILE_IDS ids, so no task holds a range. Null
-    keys come first, equal keys in the order of their ids' bytes.
+    Each file lies in a folder of its own, whose path is its entry of the
+    manifest: range=R/first=F/n_ids=N, F the ids before it in its range. Spark
+    writes the bytes as a text file of one line, so any store that Spark writes
+    will do; the line's end is no part of the format. Ranges of the key come
+    from its quantiles, and a key that fills several of them is dealt to these
+    by its ids; within a range a task streams its sorted rows and closes a file
+    at FILE_IDS ids, so no task holds a range. Null keys come first, equal keys
+    in a fixed order.
     """
     from .tokenization import words_of
 
+    null = -(1 << 63)
     k = F.col(key).cast("long")
     n = docs.count()
     cuts = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
-    bounds = docs.agg(F.percentile_approx(k, [i / cuts for i in range(1, cuts)], 10 * cuts).alias("b")).first()["b"] if cuts > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    bounds = docs.agg(F.percentile_approx(F.coalesce(k, F.lit(null)), [i / cuts for i in range(1, cuts)], 10 * cuts).alias("b")).first()["b"] if cuts > 1 else []
+    bounds = np.array(sorted(bounds or []), np.int64)
 
     def coded(batches):
         words = words_of(vocabulary)
@@ -164,28 +167,27 @@ def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text
             for batch in sliced(whole):
                 keys = batch.column(0)
                 found = [x + b"\x01\x00" for x in words.encode(batch.column(1).to_pylist())]
-                ranges = np.searchsorted(bounds, np.asarray(keys.fill_null(-(1 << 63))), side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ranges), keys, pa.array(found, pa.binary())], ["range", "key", "ids"])
+                plain = np.asarray(keys.fill_null(null))
+                low, high = np.searchsorted(bounds, plain, side="left"), np.searchsorted(bounds, plain, side="right")
+                ranges = low + np.array([zlib.crc32(x) for x in found], np.int64) % (high - low + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), keys, pa.array(found, pa.binary())], ["range", "key", "ids"])
 
     def files(batches):
         keys: list = []
         held: list[np.ndarray] = []
-        now, part, size = None, 0, 0
+        now, first, size = None, 0, 0
 
         def closed():
-            data = write_file(keys, held)
-            columns = ([now], [part], [len(keys)], [size], [data])
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "part", "n_docs", "n_ids", "data"])
+            columns = ([now], [first], [size], [write_file(keys, held)])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["range", "first", "n_ids", "data"])
 
         for batch in batches:
             for r, d, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if held and (r != now or size >= FILE_IDS):
                     yield closed()
-                    part = part + 1 if r == now else 0
+                    first = first + size if r == now else 0
                     keys, held, size = [], [], 0
-                elif r != now:
-                    part = 0
                 now = r
                 keys.append(d)
                 held.append(np.frombuffer(ids, np.uint16))
@@ -197,43 +199,42 @@ def write(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cuts // 8))
     given = docs.select(k.alias("key"), F.col(text).cast("string").alias("text"))
     rows = given.mapInArrow(lean(coded), "range int, key long, ids binary").repartition(width, "range").sortWithinPartitions("range", F.col("key").asc_nulls_first(), "ids")
-    rows.mapInArrow(lean(files), FILE_SCHEMA).write.parquet(path)
+    made = rows.mapInArrow(lean(files), "range int, first long, n_ids long, data binary")
+    made.select("range", "first", "n_ids", F.col("data").cast("string").alias("value")).write.partitionBy("range", "first", "n_ids").text(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """From the files at path, per document: doc_id, start (ids of all
-    documents before it), n_tokens, ids_crc32, and with_ids the ids.
+    documents before it), n_tokens, ids_crc32, and with_ids the ids. A path
+    without files gives no rows.
 
     A range's first id is the sum over the ranges before it (one number per
-    range, at most MOST_RANGES of them); within a range a window over its
-    files' counts adds the rest.
+    range, at most MOST_RANGES of them, from the paths alone); within a range
+    each file's path says where it begins. Files are decoded where they are read.
     """
-    from pyspark.sql import Window
-
-    files = spark.read.parquet(path)
-    totals = sorted((r["range"], r["n"]) for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).collect())
-    starts, total = [], 0
-    for r, n in totals:
-        starts.append((r, total))
-        total += n
-    before = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = files.select("range", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("within"))
-    ranges = F.broadcast(spark.createDataFrame(starts, "range int, first long"))  # at most MOST_RANGES rows
-    placed = files.select("range", "part", "data").join(firsts, ["range", "part"]).join(ranges, "range").select((F.col("within") + F.col("first")).alias("first"), "data")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    files = spark.read.format("binaryFile").load(path)
+    if "range" not in files.columns:
+        return spark.createDataFrame([], schema)
+    totals = files.groupBy(F.col("range").cast("int").alias("range")).agg(F.max(F.col("first").cast("long") + F.col("n_ids").cast("long")).alias("n")).collect()
+    starts, total = {}, 0
+    for r in sorted(totals):
+        starts[r["range"]] = total
+        total += r["n"]
 
     def rows(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                keys, documents = read_file(batch.column(1)[i].as_py())
+            for r, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                keys, documents = read_file(data.as_py())
                 sizes = np.array([len(d) for d in documents], np.int64)
-                begins = batch.column(0)[i].as_py() + np.cumsum(sizes) - sizes
+                begins = starts[r] + first + np.cumsum(sizes) - sizes
                 documents = [d.astype("<u4") for d in documents]
                 columns = [pa.array(keys, pa.int64()), pa.array(begins), pa.array(sizes), pa.array([zlib.crc32(d) for d in documents], pa.int64())]
                 if with_ids:
                     columns.append(pa.array([d.view(np.int32) for d in documents], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    return placed.mapInArrow(lean(rows), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return files.select(F.col("range").cast("int"), F.col("first").cast("long"), "content").mapInArrow(lean(rows), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ library's own split also cuts at. Each task keeps the ids of words it has met
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 
@@ -57,7 +58,7 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, np.uint16).tobytes()
 
 
-def _join(encoder: ByteLevelWords | SpacedWords, parts: dict[str, tuple[str, str]]) -> None:
+def _join(encoder: ByteLevelWords, parts: dict[str, tuple[str, str]]) -> None:
     """Words that end in marks: their stems' ids, then the marks'."""
     new = list({m for _, m in parts.values()}.difference(encoder.marks))
     encoder.marks.update(zip(new, map(_packed, _ids(encoder.tokenizer, new)), strict=True))
@@ -122,8 +123,8 @@ class ByteLevelWords:
         return [first + b"".join(map(get, f[1:])) + ends.get(i, b"") for i, (first, f) in enumerate(zip(ids, pieces, strict=False))]
 
 
-_CONTROLS = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[ \t\n\x0b\x0c\r]+")
+#: An ASCII letter and the marks after it (the apostrophe aside, which may join letters).
+_LETTER_MARK = r"([A-Za-z])([!-&(-/:-@\[-`{-~]+)"
 
 
 def _lowered(text: str | None) -> str:
@@ -136,45 +137,98 @@ def _lowered(text: str | None) -> str:
     return text.lower()
 
 
+class _Store:
+    """Ids of words: a word's row here names its ids among those of all words."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 14, np.int32) for _ in range(3))
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """words that are new, and their ids end to end."""
+        n, m = len(self.rows), len(words)
+        while n + m > len(self.starts):
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m], self.uses[n : n + m] = sizes, 0
+        self.used += len(ids)
+        self.rows.update(zip(words, range(n, n + m), strict=True))
+
+    def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the rows' ids end to end, the number of ids of each)."""
+        sizes = self.sizes[rows].astype(np.int64)
+        places = np.repeat(self.starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.ids[places], sizes
+
+    def thinned(self, most: int) -> _Store:
+        """A store of the most used words, at most so many."""
+        n = len(self.rows)
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[:most])
+        words = np.array(list(self.rows), object)[keep]
+        out = _Store()
+        out.add(words.tolist(), *self.gathered(keep))
+        return out
+
+
 class SpacedWords:
-    """For the lower-case vocabulary that drops white space: any white space cuts."""
+    """For the lower-case vocabulary that drops white space: any white space cuts.
+
+    Texts are cut into words at ASCII white space, and between an ASCII letter
+    and the marks after it, which that vocabulary's pattern never joins. Each
+    different word is looked up once a batch.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _library(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.store = _Store()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The rows of words that are new."""
         # A word may hold several pre-tokens; a line of white space can't mark where a word ends, so a marker word stands between.
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        parts = _marked(words)
-        words = _stems(words, parts, self.known)
         clean = [w for w in words if "\x01" not in w] if len(mark) == 1 else []
         groups = [clean[i : i + AT_ONCE] for i in range(0, len(clean), AT_ONCE)]
+        known = self.store.rows
         for some, found in zip(groups, _ids(self.tokenizer, [" \x01 ".join([*g, ""]) for g in groups]), strict=True):
             ids = np.array(found, np.uint16)
-            stops = np.flatnonzero(ids == mark[0]).tolist()
+            stops = np.flatnonzero(ids == mark[0])
             if len(stops) == len(some):
-                data, begins = ids.tobytes(), [0, *(i + 1 for i in stops[:-1])]
-                self.known.update(zip(some, (data[2 * a : 2 * b] for a, b in zip(begins, stops, strict=True)), strict=True))
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, map(_packed, _ids(self.tokenizer, rest)), strict=True))
-        _join(self, parts)
+                self.store.add(some, ids[ids != mark[0]], np.diff(stops, prepend=-1) - 1)
+        rest = [w for w in words if w not in known]
+        found = _ids(self.tokenizer, rest)
+        self.store.add(rest, np.array([i for x in found for i in x], np.uint16), np.array([len(x) for x in found], np.int64))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, the number of ids of each text); null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.store.rows) > MOST_WORDS:
+            self.store = self.store.thinned(MOST_WORDS // 2)
+        apart = pc.replace_substring_regex(pa.array(map(_lowered, texts), pa.large_string()), _LETTER_MARK, r"\1 \2")
+        pieces = pc.ascii_split_whitespace(apart)
+        coded = pieces.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.store.rows.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self.learn([words[i] for i in new.tolist()])
+        at = np.asarray(coded.indices)
+        self.store.uses[rows] += np.bincount(at, minlength=len(words)).astype(np.int32)
+        ids, sizes = self.store.gathered(rows[at])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[np.asarray(pieces.offsets)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-            self.marks.clear()
-        # str.split() also cuts at four control characters that are no white space to the library.
-        pieces = [_SPACES.split(t.strip(" \t\n")) if _CONTROLS.search(t) else t.split() for t in map(_lowered, texts)]
-        new = set().union(*pieces).difference(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        ids, sizes = self.encode_flat(texts)
+        ends = np.concatenate([[0], np.cumsum(2 * sizes)]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @functools.cache

@@ -1,6 +1,5 @@
 import base64
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -132,16 +131,3 @@ def test_files_split_a_hot_id(spark, tmp_path, monkeypatch):
     assert files.select("range").distinct().count() > 8
     one = files.select("content", "n_ids").first()
     assert sum(map(len, simple8b.read_file(one["content"])[1])) == one["n_ids"]
-
-
-def test_words_of_license_scan(spark):
-    from tidemark.llm import license_scan
-
-    text = "Under-the MIT licénse. Under the mit License! CC-BY-NC 4.0, cc by nc; Licensed under the Apache License, Version 2.0."
-    n, base, first, last, labels, more, score, spans = license_scan.scan_text(text)
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
-    assert n == len(words) and base == 4 and labels == "apache-2,cc-by-nc,mit" and "mit" in more and score == 1.0
-    assert (first, last) == (4, 19) and words[first : first + 4] == ["under", "the", "mit", "license"]
-    assert license_scan.scan_text(None)[:7] == (0, 0, None, None, "", "", 0.0)
-    assert len(license_scan.rules()) > 300
-    assert license_scan.scan(spark.createDataFrame([], SCHEMA)).count() == 0

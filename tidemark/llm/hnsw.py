@@ -201,7 +201,7 @@ class Graph:
         entry = self._entry_all(q)
         live, w = np.arange(len(q)), width
         while len(live):
-            if w >= len(self.v) // 2:
+            if w >= len(self.v):  # the end of widening: a beam of all rows
                 r, x = np.nonzero(q[live] @ self.v.T >= least)
                 found_q.append(live[r])
                 found_x.append(x)
@@ -250,7 +250,7 @@ def audited(graph: Graph, q: np.ndarray, least: float, width: int = BEAM) -> tup
         hit = np.isin(truth[0] * n + truth[1], r * n + x)
         got = np.bincount(truth[0][hit], minlength=len(some))
         recall = float((got[want > 0] / want[want > 0]).mean()) if want.any() else 1.0
-        if recall >= RECALL or width >= n // 2:
+        if recall >= RECALL or width >= n:
             break
         width *= 2
     return *_near(graph, q, least, width), width, recall
@@ -432,7 +432,7 @@ def _audit(graphs: DataFrame, placed: DataFrame, least: float) -> dict:
             size *= 2
             continue
         recall = min(seen["g"], seen["q"]) if seen["groups"] else None
-        if recall is None or recall >= RECALL or width >= top // 2:
+        if recall is None or recall >= RECALL or width >= top:
             return {"width": width, "recall": recall, "queries": size, "linked": seen["linked"] or 0, "groups": seen["groups"]}
         width *= 2
 

@@ -90,13 +90,36 @@ def test_vectors_of_any_number_of_lengths(spark):
     assert sorted(got) == [(i, 1, i - i % 2) for i in range(2010)]
 
 
+def test_a_whole_shard_is_searched_by_its_graph(spark, monkeypatch):
+    """Planted pairs among 1500 vectors of one shard; a damaged graph loses links and fails its audit."""
+    r = np.random.default_rng(12)
+    base = r.normal(size=(1300, 20))
+    v = np.concatenate([base, base[:200] + r.normal(size=(200, 20)) * 0.05])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    true = unit @ unit.T >= 0.95
+    np.fill_diagonal(true, False)
+    monkeypatch.setattr(V, "LEAST_SHARDS", 1)
+    record = {}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = {x.vec_id: x.n_links for x in V.near_duplicates(df, record=record).collect()}
+    assert record["width"] < 500 and got == {i: int(n) for i, n in enumerate(true.sum(1))} and true.sum() >= 350
+    g = V.Graph(unit.astype(np.float32))
+    q = unit[-100:].astype(np.float32)
+    assert V.audited(g, q, 0.95)[2] == V.BEAM
+    g.layers[-1][::2] = -1
+    lost = V._near(g, q, 0.95, V.BEAM)
+    assert len(lost[0]) < true[-100:].sum() + len(q) and V.audited(g, q, 0.95)[2] > V.BEAM
+
+
 def test_cascade_is_exact():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 62, 5000).astype(np.uint64))
     listed, others = keys[:500], keys[500:]
     levels, inside, outside = [], listed, others
     while len(inside):
-        levels.append(U.Bloom.of(inside, len(levels), 0.2))
+        levels.append(U.Bloom.empty(len(inside), len(levels), 0.2))
+        words, bits = levels[-1].parts(inside)
+        levels[-1].words[words] |= bits
         inside, outside = outside[levels[-1].has(outside)], inside
     assert len(levels) > 2
     c = U.Cascade(levels)
@@ -112,6 +135,34 @@ def test_urls(spark):
     assert U.judge(pages.limit(0), rules).count() == 0
 
 
+def test_urls_beyond_a_levels_bound(spark, monkeypatch):
+    """Lists larger than a level, thousands of path lengths and very long urls give what a join gives."""
+    r = np.random.default_rng(6)
+    hosts = [f"h{i}.com" for i in range(40)]
+    rules = [(hosts[int(r.integers(40))], "/" + "a" * int(n), "block" if n % 3 else "allow") for n in range(4500)]
+    urls = ["http://" + ("x." if n % 2 else "") + hosts[int(r.integers(40))] + "/" + "a" * int(n) + "b" for n in r.integers(0, 600, 40)] + ["http://h1.com/" + "a" * 4200 + "b" * 100_000, "http://" + "x." * 50 + "h2.com/aa"]
+    monkeypatch.setattr(U, "MOST_BYTES", 8000)
+    sizes = []
+    build = U.build
+
+    def seen(listed, universe):
+        made = build(listed, universe, U.MOST_BYTES)
+        sizes.extend(x.words.nbytes for x in made.levels)
+        return made
+
+    monkeypatch.setattr(U, "build", seen)
+    got = U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    table = {}
+    for h, p, v in rules:
+        table[h, p] = "block" if "block" in (v, table.get((h, p))) else v
+    for x in got.collect():
+        h, path = x.host, x.path
+        fits = [(len(s) + len(p), v, s + p) for s in {".".join(h.split(".")[i:]) for i in range(h.count(".") + 1)} for (s2, p), v in table.items() if s2 == s and path.startswith(p)]
+        best = max(fits, default=(0, "allow", None))
+        assert (x.verdict, x.rule) == best[1:], x.page_id
+    assert len(sizes) > 4 and max(sizes) <= 8000 + 8
+
+
 def test_rules_count_and_keep(spark):
     good = " ".join(f"the word{i} of" for i in range(40))
     rows = [(1, good), (2, None), (3, ""), (4, "a b c d " * 30), (5, " ".join(f"w{i}*** the" for i in range(60))), (6, "x\ny\nx\n\n \nx"), (1, good)]

@@ -131,3 +131,24 @@ def test_files_split_a_hot_id(spark, tmp_path, monkeypatch):
     assert files.select("range").distinct().count() > 8
     one = files.select("content", "n_ids").first()
     assert sum(map(len, simple8b.read_file(one["content"])[1])) == one["n_ids"]
+
+
+def test_step_groups_are_balanced():
+    r = np.random.default_rng(4)
+    packer = packing.Packer()
+    lengths = [*r.integers(1, 300, 3000).tolist(), *r.integers(1, 3000, 300).tolist(), 70_000]
+    packed = packer.pack(lengths)
+    step, n = packer.steps(packed)
+    tiers, tokens, load = {}, [0] * n, [0] * n
+    for (length, pieces), j in zip(packed, step, strict=True):
+        tiers.setdefault(j, set()).add(max(length, 256))
+        tokens[j] += length
+        load[j] += sum(k * k for _, _, k in pieces)
+    assert len(tiers) == n and all(len(t) == 1 for t in tiers.values()) and sum(tokens) == sum(lengths)
+    for tier in {t for x in tiers.values() for t in x}:
+        mine = [j for j in range(n) if tiers[j] == {tier}]
+        if len(mine) > 1:
+            assert max(tokens[j] for j in mine) <= 1.1 * min(tokens[j] for j in mine)
+            heaviest = max(sum(k * k for _, _, k in p) for length, p in packed if max(length, 256) == tier)
+            assert max(load[j] for j in mine) - min(load[j] for j in mine) <= 2 * heaviest
+    assert packer.steps([]) == ([], 0) and packer.steps([(2, [(0, 0, 2)])]) == ([0], 1)

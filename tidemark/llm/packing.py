@@ -5,12 +5,14 @@ each document first; what remains is routed to a tier by its size. Pieces of
 the longest tier open long windows, whose gaps are filled with whole pieces of
 the shorter tiers (largest that fits), the last of them cut to fit. What is
 left of the shorter tiers fills windows of its own tier. A block's last tokens
-form sequences of powers of two, so nothing is padded.
+form sequences of powers of two, so nothing is padded. The sequences of each
+tier are then dealt to step groups of equal load.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ from .common import lean, sliced
 TIERS = (2048, 1024, 512, 256)
 #: Tokens held by a task before it packs them.
 BLOCK_TOKENS = 2_000_000
-#: Tokens of one optimiser step; sequences of a tier are dealt to steps of this size.
+#: Tokens of one optimiser step at most, but for a block's short closing sequences.
 STEP_TOKENS = 16 * 2048
 END = 1
 
@@ -70,6 +72,32 @@ class Packer:
             rest = tail
         return out + self._closed(rest)
 
+    def steps(self, sequences: list[tuple[int, list[Piece]]], tokens: int = STEP_TOKENS) -> tuple[list[int], int]:
+        """(each sequence's step, number of steps). A step holds sequences of one
+        tier; a tier has as few steps as its tokens need, and the heaviest
+        sequence left (load: the sum of its pieces' squared lengths, as attention
+        costs) goes to the lightest step with room. Closing sequences shorter
+        than the last tier go to that tier's steps.
+        """
+        out, made = [0] * len(sequences), 0
+        by_tier: dict[int, list[tuple[int, int]]] = {}
+        for i, (length, pieces) in enumerate(sequences):
+            by_tier.setdefault(max(length, self.tiers[-1]), []).append((sum(n * n for _, _, n in pieces), i))
+        for some in by_tier.values():
+            n = max(1, sum(sequences[i][0] for _, i in some) // tokens)
+            room = -(-sum(sequences[i][0] for _, i in some) // n)
+            heap = [(0, j, 0) for j in range(made, made + n)]
+            full = []
+            for load, i in sorted(some, key=lambda x: (-x[0], x[1])):
+                while heap and heap[0][2] + sequences[i][0] > max(room, sequences[i][0]):
+                    full.append(heapq.heappop(heap))
+                heap, full = (heap, full) if heap else (sorted(full), [])
+                was, j, held = heapq.heappop(heap)
+                out[i] = j
+                heapq.heappush(heap, (was + load, j, held + sequences[i][0]))
+            made += n
+        return out, made
+
     def _tier(self, n: int) -> int:
         return max(i for i, size in enumerate(self.tiers) if n <= size)
 
@@ -121,19 +149,19 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
         words, packer = words_of(vocabulary), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
-        sequences, fill = 0, {}
+        sequences = steps = 0
         keys: list = []
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequences
+            nonlocal sequences, steps
             rows: list[tuple] = []
             blobs = []
-            for length, pieces in packer.pack([len(x) for x in held]):
-                offset, fill[length] = 0, fill.get(length, 0) + length
-                # Steps of a tier follow each other; the tier keeps their numbers apart.
-                step = base + ((fill[length] - 1) // STEP_TOKENS << 12) + length
+            packed = packer.pack([len(x) for x in held])
+            dealt, more = packer.steps(packed)
+            for (length, pieces), step in zip(packed, dealt, strict=True):
+                offset, step = 0, base + steps + step
                 for doc, start, n in pieces:
                     part = held[doc][start : start + n].astype("<u4")
                     rows.append((keys[doc], start, n, zlib.crc32(part), len(held[doc]), base + sequences, offset, length, step))
@@ -141,6 +169,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
                         blobs.append(part.view(np.int32))
                     offset += n
                 sequences += 1
+            steps += more
             types = [key_type, *[pa.int64()] * 6, pa.int32(), pa.int64()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             if with_ids:

@@ -11,9 +11,9 @@ common), but only those that can have a copy elsewhere:
     with the same anchor are a run. Chunks of documents send each anchor hash
     once, and get back one bit: does another chunk have it, too?
 2.  Runs whose anchor has a copy are fragments. A chunk sends each different
-    fragment once, with its smallest document. Where all fragments of an
-    anchor are equal nothing is left to order; the windows of the others are
-    sorted, and windows equal over LENGTH bytes get their smallest document.
+    fragment once, with its smallest document. Of fragments that are equal
+    byte for byte one is taken; the windows of all others are sorted, and
+    windows equal over LENGTH bytes get their smallest document.
 3.  Chunks mark the windows that have a smaller document elsewhere, take the
     union of their bytes, and cut them out of the whole texts.
 
@@ -39,6 +39,8 @@ LENGTH, K = 50, 24
 W = LENGTH - K + 1
 #: Text of a chunk; positions handled by one vector step; anchors in a bucket.
 CHUNK_BYTES, BLOCK, BUCKET = 2 << 20, 1 << 18, 1 << 20
+#: Text whose fragments one task of a shuffle handles.
+PART_BYTES = 16 << 20
 #: Depth to which multikey quicksort orders suffixes before the tries take over.
 SHALLOW = 24
 NO_DOC = (1 << 63) - 1
@@ -373,26 +375,25 @@ def least_documents(heads: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, n
     # Equal fragments: one each from here on.
     order = np.lexsort((heads["whole"], heads["anchor"]))
     h = heads[order]
-    new = np.r_[True, (h["anchor"][1:] != h["anchor"][:-1]) | (h["whole"][1:] != h["whole"][:-1])]
+    new = np.r_[True, (h["anchor"][1:] != h["anchor"][:-1]) | (h["whole"][1:] != h["whole"][:-1]) | (h["count"][1:] != h["count"][:-1])]
+    # Hashes say that they are equal, bytes decide; those that differ are sorted apart.
+    like = np.flatnonzero(~new)
+    sizes = counts[order[like]] + LENGTH - 1
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    unlike = texts[np.repeat(begin[order[like]], sizes) + inner] != texts[np.repeat(begin[order[like - 1]], sizes) + inner]
+    if unlike.any():
+        new[like[np.unique(np.repeat(np.arange(len(like)), sizes)[unlike])]] = True
     kind = np.empty(len(heads), np.int64)
     kind[order] = np.cumsum(new) - 1
     one = order[np.flatnonzero(new)]
     least = np.minimum.reduceat(h["least"], np.flatnonzero(new))
-    anchor = heads["anchor"][one]
-    lone = np.r_[True, anchor[1:] != anchor[:-1]] & np.r_[anchor[1:] != anchor[:-1], True]
     n = counts[one]
     at = np.concatenate([[0], np.cumsum(n)])
     found = np.repeat(least, n)
-    # Anchors with different fragments: their windows are sorted.
-    mixed = np.flatnonzero(~lone)
-    if len(mixed):
-        m = n[mixed]
-        inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        starts = np.repeat(begin[one[mixed]], m) + inner
-        slots = np.repeat(at[mixed], m) + inner
-        order, group = deep_shallow(texts, starts)
-        lows = np.minimum.reduceat(found[slots[order]], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
-        found[slots[order]] = lows[group]
+    starts = np.repeat(begin[one] - at[:-1], n) + np.arange(at[-1])
+    order, group = deep_shallow(texts, starts)
+    lows = np.minimum.reduceat(found[order], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
+    found[order] = lows[group]
     places = np.repeat(at[kind], counts) + np.arange(first[-1]) - np.repeat(first[:-1], counts)
     return first, found[places]
 
@@ -487,11 +488,14 @@ def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     chunks = pinned(_chunks(docs))
     n_chunks = chunks.count()
     n = max(width, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
-    bits = _anchors(chunks, n).groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
-    fragments = chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lean_cogroup(_fragments(n)), "bucket int, chunk long, fragments binary")
-    answers = fragments.groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
+    # Widths grow with the text, so what a task reads doesn't.
+    width = max(width, n_chunks * CHUNK_BYTES // PART_BYTES)
+    bits = _anchors(chunks, n).repartition(width, "bucket").groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
+    placed = chunks.repartition(width, "chunk")
+    fragments = placed.groupBy("chunk").cogroup(bits.repartition(width, "chunk").groupBy("chunk")).applyInArrow(lean_cogroup(_fragments(n)), "bucket int, chunk long, fragments binary")
+    answers = fragments.repartition(width, "bucket").groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
     schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, spans binary") if with_spans else SCHEMA
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_spans)), schema)
+    return placed.groupBy("chunk").cogroup(answers.repartition(width, "chunk").groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_spans)), schema)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:

@@ -484,16 +484,15 @@ def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    width = parts(spark)
     chunks = pinned(_chunks(docs))
     n_chunks = chunks.count()
-    n = max(width, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
-    # Widths grow with the text, so what a task reads doesn't.
-    width = max(width, n_chunks * CHUNK_BYTES // PART_BYTES)
-    bits = _anchors(chunks, n).repartition(width, "bucket").groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
+    # Widths grow with the text, so what a task reads doesn't; twice as many parts as buckets, as a part may get several.
+    n = max(1, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
+    width, wide = max(parts(spark), n_chunks * CHUNK_BYTES // PART_BYTES), max(parts(spark), 2 * n)
+    bits = _anchors(chunks, n).repartition(wide, "bucket").groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
     placed = chunks.repartition(width, "chunk")
     fragments = placed.groupBy("chunk").cogroup(bits.repartition(width, "chunk").groupBy("chunk")).applyInArrow(lean_cogroup(_fragments(n)), "bucket int, chunk long, fragments binary")
-    answers = fragments.repartition(width, "bucket").groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
+    answers = fragments.repartition(wide, "bucket").groupBy("bucket").applyInArrow(lean_group(_answers), "chunk long, heads binary, least binary")
     schema = SCHEMA.replace("kept_sha256 string", "text_sha256 string, spans binary") if with_spans else SCHEMA
     return placed.groupBy("chunk").cogroup(answers.repartition(width, "chunk").groupBy("chunk")).applyInArrow(lean_cogroup(_cut(with_spans)), schema)
 

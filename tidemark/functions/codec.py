@@ -20,14 +20,19 @@ def url_row(fields: dict[str, Column]) -> Column:
     return F.concat_ws("&", *parts)
 
 
+def url_decode(c: Column) -> Column:
+    """+ is a space, %xx a byte; a % that two hexadecimal digits don't follow stays."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def url_map(text: Column) -> Column:
     """A url-encoded row as a map. Segments are split before they are decoded;
     empty segments are skipped, a later duplicate of a name wins, a name
     without ``=`` is null."""
     parts = F.filter(F.split(text, "&"), lambda x: x != "")
-    name = lambda x: F.url_decode(F.substring_index(x, "=", 1))
+    name = lambda x: url_decode(F.substring_index(x, "=", 1))
     rest = lambda x: F.array_join(F.slice(F.split(x, "="), 2, F.size(F.split(x, "="))), "=")
-    value = lambda x: F.when(F.contains(x, F.lit("=")), F.url_decode(rest(x)))
+    value = lambda x: F.when(F.contains(x, F.lit("=")), url_decode(rest(x)))
     pairs = F.transform(parts, lambda x: F.struct(name(x).alias("k"), value(x).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
@@ -48,20 +53,22 @@ def quote_copy(c: Column) -> Column:
 
 def quote_json(c: Column) -> Column:
     """A JSON string; ``/`` is escaped, too, so that it may stand in a script."""
+    named = {"\\": "\\\\", '"': '\\"', "/": "\\/", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
     out = c
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("/", "\\/"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for a, b in (named | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in named}).items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), out, F.lit('"')))
 
 
 # Reserved words of the SQL dialect, which identifiers must quote.
 RESERVED = (
-    "all analyse analyze and any array as asc asymmetric authorization between binary both case cast check collate column "
-    "constraint create cross current_date current_role current_time current_timestamp current_user default deferrable desc "
-    "distinct do else end errors except false for foreign freeze from full grant group having ilike in initially inner "
-    "intersect into is isnull join leading left like limit localtime localtimestamp natural new not notnull null off offset "
-    "old on only or order outer overlaps placing primary references returning right select session_user similar some "
-    "symmetric table then to trailing true union unique user using verbose when where window with"
+    "all analyse analyze and any array as asc asymmetric authorization binary both case cast check collate collation column "
+    "concurrently constraint create cross current_catalog current_date current_role current_schema current_time "
+    "current_timestamp current_user default deferrable desc distinct do else end errors except false fetch for foreign freeze "
+    "from full grant group having ilike in initially inner intersect into is isnull join lateral leading left like limit "
+    "localtime localtimestamp natural new not notnull null off offset old on only or order outer over overlaps placing primary "
+    "references returning right select session_user similar some symmetric table then to trailing true union unique user using "
+    "variadic verbose when where window with"
 ).split()
 
 
@@ -70,6 +77,17 @@ def quote_ident(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
 
 
+def unquote_ident(c: Column) -> Column:
+    """The name that an identifier means: quoted as it stands, else in lower case; a stray quote is an error."""
+    quoted = (F.length(c) > 1) & F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"'))
+    inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.when(quoted, inner).when(F.instr(c, '"') > 1, F.raise_error("unsupported identifier").cast("string")).otherwise(F.lower(c))
+
+
+def unquote_full_name(c: Column) -> Column:
+    return F.array_join(F.transform(F.split(c, r"\.", 2), unquote_ident), ".")
+
+
 def name_parts(c: Column, default: str = "public") -> Column:
     """(schema, name), split at the first dot."""
     at = F.instr(c, ".")
@@ -88,15 +106,106 @@ def quote_full_name(c: Column) -> Column:
 
 
 def pg_array(items: Column) -> Column:
-    """Array text: null elements are NULL, others are quoted where needed."""
-    item = lambda x: F.when(x.isNull(), "NULL").when((x == "") | (F.lower(x) == "null") | x.rlike(r'[\\{}",\s]'), F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(x)
+    """Array text: null elements are NULL; empty ones, and those with other
+    than lower-case letters, digits and a few marks, are quoted."""
+    plain = lambda x: x.rlike(r"^[0-9a-z_.%&=()<>*/+-]+$")
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    item = lambda x: F.when(x.isNull(), "NULL").when(plain(x), x).otherwise(quoted(x))
     return F.concat(F.lit("{"), F.array_join(F.transform(items, item), ","), F.lit("}"))
 
 
+def parse_pg_array(c: Column) -> Column:
+    """The elements of one-dimensional array text, a leading ``[a,b]=`` aside;
+    an unquoted NULL is null, malformed text an error, null stays null."""
+    body = F.regexp_replace(c, r"^\[[^\]]*\]=", "")
+    shape = r'^\{(?:(?:"(?:[^"\\]|\\.)*"|[^,"{}]+)(?:,(?:"(?:[^"\\]|\\.)*"|[^,"{}]+))*)?\}$'
+    parts = F.regexp_extract_all(F.substring(body, F.lit(2), F.length(body) - 2), F.lit(r'("(?:[^"\\]|\\.)*"|[^,"]+)'), F.lit(1))
+    item = lambda x: F.when(F.startswith(x, F.lit('"')), _unescaped(F.substring(x, F.lit(2), F.length(x) - 2))).when(F.upper(x) != "NULL", _unescaped(x))
+    bad = F.raise_error(F.concat(F.lit("bad array: "), c)).cast("array<string>")
+    return F.when(c.isNull(), F.lit(None)).when(body.rlike(shape), F.transform(parts, item)).otherwise(bad)
+
+
+# Letters that a backslash gives another meaning.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "a": "\a"}
+
+
+def _unescaped(c: Column) -> Column:
+    """Backslash escapes of a text: named ones, octal numbers, else the character itself."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\[0-7]{1,3}|\\.|[^\\]+|\\$)"), F.lit(1))
+    names = F.create_map(*(F.lit(x) for kv in _ESCAPES.items() for x in kv))
+    one = lambda x: F.when(x.rlike(r"^\\[0-7]"), F.char(F.conv(F.substring(x, 2, 3), 8, 10).cast("int")))
+    rest = lambda x: F.when(F.startswith(x, F.lit("\\")) & (F.length(x) > 1), F.coalesce(F.try_element_at(names, F.substring(x, 2, 1)), F.substring(x, 2, 1))).otherwise(x)
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(one(x), rest(x))), "")
+
+
+def unescape(c: Column) -> Column:
+    return _unescaped(c)
+
+
+def unescape_copy(c: Column) -> Column:
+    r"""A COPY field: ``\N`` is null."""
+    return F.when(c != "\\N", _unescaped(c))
+
+
+def quote_bytea(c: Column) -> Column:
+    r"""Bytes as text: control bytes and those from 0x7f on as ``\ooo``, a backslash doubled."""
+    byte = lambda h: F.conv(h, 16, 10).cast("int")
+    octal = lambda b: F.concat(F.lit("\\"), F.lpad(F.conv(b.cast("string"), 10, 8), 3, "0"))
+    one = lambda h: F.when((byte(h) < 32) | (byte(h) >= 127), octal(byte(h))).when(h == "5C", F.lit("\\\\")).otherwise(F.char(byte(h)))
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(c), F.lit("([0-9A-F]{2})"), F.lit(1)), one), "")
+
+
+def quote_bytea_literal(c: Column) -> Column:
+    return quote_literal(quote_bytea(c))
+
+
+def quote_bytea_copy(c: Column) -> Column:
+    return quote_copy(quote_bytea(c))
+
+
+def quote_statement(template: str, values: dict[str, Column]) -> Column:
+    """A statement with each ``%(name)s`` replaced by the quoted value; ``%%`` is a percent sign."""
+    import re
+
+    parts = re.split(r"%\((\w+)\)s", template)
+    return F.concat(*(quote_literal(values[x].cast("string")) if i % 2 else F.lit(x.replace("%%", "%")) for i, x in enumerate(parts)))
+
+
+def record_list(c: Column) -> Column:
+    """Array text of url-encoded records as an array of maps."""
+    return F.transform(parse_pg_array(c), url_map)
+
+
+def changelog(old: Column, new: Column, fields: list[str]) -> Column:
+    """``name: old -> new`` of each field that differs, in lines; nulls are empty."""
+    text = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+    lines = [F.when(text(old, k) != text(new, k), F.concat(F.lit(f"{k}: "), text(old, k), F.lit(" -> "), text(new, k))) for k in fields]
+    return F.concat_ws("\n", *lines)
+
+
+def connect_pairs(c: Column) -> Column:
+    """``key=value key2='quoted \\' value'`` as a map."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\w+\s*=\s*(?:'(?:[^'\\]|\\.)*'|[^\s']\S*|))"), F.lit(1))
+    value = lambda x: F.regexp_replace(x, r"^\w+\s*=\s*", "")
+    plain = lambda v: F.when(F.startswith(v, F.lit("'")), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
+    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), plain(value(x)).alias("v"))))
+
+
+def acl_parts(c: Column) -> Column:
+    """``who=rights/owner`` as a struct; an empty who is public; null where it is none of that."""
+    shape = r'^("(?:[^"]|"")*"|[^"=]*)=(\w*[*\w]*)/(.+)$'
+    who = F.regexp_extract(c, shape, 1)
+    return F.when(c.rlike(shape), F.struct(F.when(who == "", "public").otherwise(unquote_ident(who)).alias("who"), F.regexp_extract(c, shape, 2).alias("rights"), unquote_ident(F.regexp_extract(c, shape, 3)).alias("owner")))
+
+
 def natural_key(c: Column, fold: bool = False) -> Column:
-    """An array that sorts texts with runs of digits by their value."""
+    """An array that sorts texts with runs of digits by their value, whatever
+    their length, and digits before all else: the number of significant digits
+    comes before them."""
     c = F.lower(c) if fold else c
-    return F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x))
+    value = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    item = lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("\x01"), F.lpad(F.length(value(x)).cast("string"), 10, "0"), value(x))).otherwise(F.concat(F.lit("\x02"), x))
+    return F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), item)
 
 
 def iso_timestamp(c: Column) -> Column:

@@ -220,21 +220,26 @@ def due_retries(queued: DataFrame, now: Column, most: int = 10) -> DataFrame:
     return queued.where(F.col("ev_retry_after") <= now).orderBy("ev_retry_after", "ev_id").limit(most)
 
 
-def obsolete_ticks(ticks: DataFrame, subs: DataFrame) -> DataFrame:
-    """Ticks that no consumer needs: older than the slowest one's, per queue."""
-    slow = subs.groupBy("tick_queue").agg(F.min("last_tick").alias("slowest"))
-    return ticks.join(slow, "tick_queue").where("tick_id < slowest").select(*ticks.columns)
+def obsolete_ticks(ticks: DataFrame, queues: DataFrame) -> DataFrame:
+    """Ticks that a rotation deletes: those whose snapshot's xmin is below the
+    transaction of the rotation before (queues: tick_queue, switch_step2)."""
+    return ticks.join(queues.select("tick_queue", "switch_step2"), "tick_queue").where(F.col("tick_snapshot.xmin") < F.col("switch_step2")).select(*ticks.columns)
 
 
 def rotation_due(queues: DataFrame, subs: DataFrame, ticks: DataFrame, now: Column) -> DataFrame:
-    """Per queue (tick_queue, switch_time, switch_step2, period_sec): due, blocked
-    (some consumer may still need the table to be emptied), and whether to rotate."""
-    s = subs.join(ticks.select("tick_queue", F.col("tick_id").alias("last_tick"), F.col("tick_snapshot.xmin").alias("xmin")), ["tick_queue", "last_tick"], "left")
-    low = s.groupBy("tick_queue").agg(F.min("xmin").alias("xmin"))
-    due = (F.unix_micros(now) - F.unix_micros("switch_time")) / 1e6 > F.col("period_sec")
-    free = F.coalesce(F.col("xmin") > F.col("switch_step2"), F.lit(True))
-    ready = F.coalesce(due & F.col("switch_step2").isNotNull(), F.lit(False))
-    return queues.join(low, "tick_queue", "left").select("tick_queue", ready.alias("due"), (~free).alias("blocked"), (ready & free).alias("rotate"))
+    """Per queue (tick_queue, cur_table, n_tables, switch_time, switch_step2,
+    period_sec): due, blocked (the slowest consumer's tick may still need the
+    table that would be emptied), whether to rotate, and the table in use after
+    it. A consumer whose tick is gone is an error."""
+    low = subs.groupBy("tick_queue").agg(F.min("last_tick").alias("last_tick"))
+    seen = low.join(ticks.select("tick_queue", F.col("tick_id").alias("last_tick"), F.col("tick_snapshot.xmin").alias("xmin")), ["tick_queue", "last_tick"], "left")
+    j = queues.join(seen, "tick_queue", "left")
+    xmin = F.when(F.col("last_tick").isNotNull() & F.col("xmin").isNull(), F.raise_error("a consumer's tick is not there").cast("bigint")).otherwise(F.col("xmin"))
+    due = ((F.unix_micros(now) - F.unix_micros("switch_time")) / 1e6 > F.col("period_sec")) & F.col("switch_step2").isNotNull()
+    blocked = F.coalesce(xmin <= F.col("switch_step2"), F.lit(False))
+    rows = j.select("tick_queue", "cur_table", "n_tables", F.coalesce(due, F.lit(False)).alias("due"), blocked.alias("blocked"))
+    go = F.col("due") & ~F.col("blocked")
+    return rows.select("tick_queue", "due", "blocked", go.alias("rotate"), F.when(go, (F.col("cur_table") + 1) % F.col("n_tables")).otherwise(F.col("cur_table")).alias("cur_table"))
 
 
 def coop_batches(ticks: DataFrame, last_tick: int, workers: int) -> DataFrame:

@@ -6,18 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What a node does, by its type and the type of the combined queue it feeds.
+#: What a node does with its provider's queue, by its type and the type of the combined queue it feeds:
+#: publishes the global watermark, handles batches, copies events, leaves out control events, keeps
+#: event ids, makes ticks, reports ticks, waits until the combined queue has caught up.
 ROLES = (
-    ("root", None, True, False, True),
-    ("branch", None, True, True, True),
-    ("leaf", None, False, False, False),
-    ("leaf", "root", False, False, False),
-    ("leaf", "branch", False, False, False),
+    ("root", None, True, False, False, False, False, False, False, False),
+    ("branch", None, False, True, True, False, True, True, False, False),
+    ("leaf", None, False, True, False, False, False, False, False, False),
+    ("leaf", "root", False, True, True, True, False, False, True, False),
+    ("leaf", "branch", False, True, False, False, False, False, False, True),
 )
 
 
 def roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ROLES), "node_type string, combined_type string, publishes_watermark boolean, copies_events boolean, has_consumers boolean")
+    return spark.createDataFrame(list(ROLES), "node_type string, combined_type string, publishes_watermark boolean, handles_batches boolean, copies_events boolean, filtered boolean, keeps_ids boolean, makes_ticks boolean, reports_ticks boolean, waits_behind boolean")
 
 
 def local_watermark(nodes: DataFrame, consumers: DataFrame, ticks: DataFrame, publisher: str = ".global_watermark") -> DataFrame:
@@ -88,16 +90,28 @@ def copy_source(nodes: DataFrame, tables: DataFrame, wanted: str, node: str) ->
 
 
 def copy_roles(parts: DataFrame) -> DataFrame:
-    """Who copies first where several part queues fill one table.
-
-    parts: (queue, table_name, state, dropped_ddl). While any part is being
-    copied, the first (by name) of those in copy leads and the others wait; a
-    part that has its data waits to replay until every part has.
+    """parts (queue, table_name, state, dropped_ddl, local, combined) with
+    copy_role and copy_pos: who copies first where several part queues fill one
+    table of a combined queue (null: a queue without one).
+
+    Only local parts that aren't ok count. The part that has dropped the
+    table's DDL leads, else the first by name; alone, nobody has a role. The
+    lead drops the DDL and copies while the others wait to copy; once any part
+    is past copying, copies may run, and whoever is done waits to replay until
+    the DDL is back. copy_pos: copying parts with smaller names, 0 for the lead.
     """
-    copying = F.col("state") == "in-copy"
-    s = parts.groupBy("table_name").agg(F.count("*").alias("n"), F.count_if(copying).alias("n_copy"), F.min(F.when(copying, F.col("queue"))).alias("lead"), F.count_if(F.col("state").isNull()).alias("n_missing"))
-    role = F.when(F.col("n") < 2, F.lit(None).cast("string")).when(copying & (F.col("queue") == F.col("lead")), "lead").when(copying, "wait-copy").when((F.col("state") == "catching-up") & (F.col("n_copy") > 0), "wait-replay")
-    return parts.join(s, "table_name").select("queue", "table_name", "state", role.alias("copy_role"))
+    other = F.col("local") & (F.col("state").isNull() | (F.col("state") != "ok"))
+    whole = parts.where(other).groupBy("combined", "table_name").agg(F.min("queue").alias("first"), F.min(F.when(F.col("dropped_ddl").isNotNull(), F.col("queue"))).alias("first_ddl"), F.count("*").alias("n"), F.count(F.nullif("state", F.lit("in-copy"))).alias("done"), F.sort_array(F.collect_set(F.when(F.col("state") == "in-copy", F.col("queue")))).alias("copying"))
+    g = whole.select(F.col("combined").alias("c"), F.col("table_name").alias("t"), "first", "first_ddl", "n", "done", "copying")
+    j = parts.join(g, F.col("combined").eqNullSafe(F.col("c")) & (F.col("table_name") == F.col("t")), "left")
+    lead = F.when(F.col("n") > 1, F.coalesce("first_ddl", "first"))
+    copying, behind = F.col("state") == "in-copy", F.col("state") == "catching-up"
+    open_, ddl = F.col("done") < F.col("n"), F.col("dropped_ddl").isNotNull()
+    leads = F.when(copying & ~ddl & (F.col("done") > 0), "wait-replay").when(copying & open_, "lead").when(behind & ddl & open_, "wait-replay")
+    follows = F.when(copying & (F.col("first_ddl").isNotNull() | (F.col("done") > 0)), "wait-replay").when(copying, "wait-copy").when(behind & F.col("first_ddl").isNotNull(), "wait-replay")
+    role = F.when(lead.isNull(), F.lit(None)).when(F.col("queue") == lead, leads).otherwise(follows)
+    place = F.when(copying & ~F.coalesce(F.col("queue") == lead, F.lit(False)), F.size(F.filter("copying", lambda q: q < F.col("queue")))).otherwise(0)
+    return j.select("queue", "table_name", "state", role.alias("copy_role"), F.coalesce(place, F.lit(0)).alias("copy_pos"))
 
 
 def state_counts(tables: DataFrame) -> DataFrame:
@@ -132,7 +146,10 @@ def missing(present: DataFrame, registered: DataFrame) -> DataFrame:
 
 def lost_stats(events: DataFrame) -> DataFrame:
     """Per table: inserts, updates, deletes of lost events, and whether all can
-    be taken back (updates and deletes need the old row)."""
+    be taken back: updates need a backup of the old row, deletes only where the
+    event doesn't hold it (a bare D)."""
     op = F.substring("ev_type", 1, 1)
-    back = (op == "I") | (op.isin("U", "D") & F.col("ev_extra2").isNotNull())
-    return events.groupBy("ev_extra1").agg(F.count_if(op == "I").alias("inserts"), F.count_if(op == "U").alias("updates"), F.count_if(op == "D").alias("deletes"), F.bool_and(back).alias("can_rollback"))
+    bare = F.coalesce(F.col("ev_extra3"), F.lit("")) == ""
+    lost = bare & ((op == "U") | (F.col("ev_type") == "D"))
+    known = events.where(F.substring("ev_type", 1, 2).isin("I:", "U:", "D:", "I", "U", "D"))
+    return known.groupBy("ev_extra1").agg(F.count_if(op == "I").alias("inserts"), F.count_if(op == "U").alias("updates"), F.count_if(op == "D").alias("deletes"), F.bool_and(~lost).alias("can_rollback"))

@@ -178,9 +178,31 @@ def retry_due_top10(spark, d):
     return B.due_retries(_queued(spark, d), _now(spark, d)).select("ev_id", "ev_retry_after")
 
 
-@query(_seed(f", {_NEXT} SELECT tick_id FROM tk WHERE tick_id < (SELECT min(last_tick) FROM cons WHERE last_tick >= 18)"))
+_XMIN = f"(SELECT coalesce(min(x), t.xmax) FROM (SELECT unnest(range(greatest(t.xmax - {S.LATE}, {S.FIRST_TX}), t.xmax)) AS x) WHERE x % {S.STRIDE} = 0)"
+
+
+def _queues(spark, d):
+    """The queue as its third table is in use: switched at transaction 1500, some hours ago."""
+    at = _now(spark, d) - F.make_dt_interval(hours=F.lit(3))
+    return S.ticks(spark, d).select("tick_queue").distinct().select("tick_queue", F.lit(2).alias("cur_table"), F.lit(3).alias("n_tables"), at.alias("switch_time"), F.lit(1500).cast("long").alias("switch_step2"), F.lit(7200).alias("period_sec"))
+
+
+@query(_seed(f"SELECT tick_id FROM tk t WHERE {_XMIN} < 1500"))
 def rotation_gc(spark, d):
-    return B.obsolete_ticks(S.ticks(spark, d), _consumers(spark, d).where("last_tick >= 18")).select("tick_id")
+    return B.obsolete_ticks(S.ticks(spark, d), _queues(spark, d)).select("tick_id")
+
+
+@query(_seed(f"SELECT v.low, {_XMIN} <= 1500 AS blocked, {_XMIN} > 1500 AS rotate, CASE WHEN {_XMIN} > 1500 THEN 0 ELSE 2 END AS cur_table FROM (VALUES (1), (8)) v(low) JOIN tk t ON t.tick_id = v.low * (SELECT max(tick_id) FROM tk) // 10"))
+def rotation_step(spark, d):
+    """The slowest consumer at a tenth and at eight tenths of the ticks."""
+    t = S.ticks(spark, d)
+    top = t.groupBy("tick_queue").agg(F.max("tick_id").alias("top"))
+    out = None
+    for low in (1, 8):
+        subs = top.select("tick_queue", F.expr(f"{low} * top div 10").alias("last_tick"))
+        got = B.rotation_due(_queues(spark, d), subs, t, _now(spark, d)).select(F.lit(low).alias("low"), "blocked", "rotate", "cur_table")
+        out = got if out is None else out.union(got)
+    return out
 
 
 @query(_seed("SELECT tick_id, CASE WHEN xmax < 1200 THEN 'previous' WHEN lo > 1300 THEN 'current' ELSE 'previous,current' END AS tables FROM (SELECT t.tick_id, t.xmax, p.xmax AS lo FROM tk t JOIN tk p ON p.tick_id = t.tick_id - 1)"))
@@ -480,10 +502,50 @@ def table_state_counts(spark, d):
     return N.state_counts(_tables(spark, d))
 
 
-@query(f"WITH t AS (SELECT 'q' || n_nationkey AS queue, n_regionkey AS table_name, {_STATES} AS state FROM nation), g AS (SELECT table_name, count(*) AS n, count(*) FILTER (state = 'in-copy') AS c, min(queue) FILTER (state = 'in-copy') AS l FROM t GROUP BY 1) SELECT queue, t.table_name, state, CASE WHEN n < 2 THEN NULL WHEN state = 'in-copy' AND queue = l THEN 'lead' WHEN state = 'in-copy' THEN 'wait-copy' WHEN state = 'catching-up' AND c > 0 THEN 'wait-replay' END AS copy_role FROM t JOIN g ON g.table_name = t.table_name")
+# Roles of three parts that fill one table, by their states (! marks a part that has dropped the DDL).
+COPY_ROLES = """
+!catching-up catching-up catching-up NULL wait-replay wait-replay
+!catching-up catching-up in-copy wait-replay wait-replay wait-replay
+!catching-up in-copy catching-up wait-replay wait-replay wait-replay
+!catching-up in-copy in-copy wait-replay wait-replay wait-replay
+!in-copy catching-up catching-up lead wait-replay wait-replay
+!in-copy catching-up in-copy lead wait-replay wait-replay
+!in-copy in-copy catching-up lead wait-replay wait-replay
+!in-copy in-copy in-copy lead wait-replay wait-replay
+catching-up !catching-up catching-up wait-replay NULL wait-replay
+catching-up !catching-up in-copy wait-replay wait-replay wait-replay
+catching-up !in-copy catching-up wait-replay lead wait-replay
+catching-up !in-copy in-copy wait-replay lead wait-replay
+catching-up catching-up !catching-up wait-replay wait-replay NULL
+catching-up catching-up !in-copy wait-replay wait-replay lead
+catching-up catching-up catching-up NULL NULL NULL
+catching-up catching-up in-copy NULL NULL wait-replay
+catching-up in-copy !catching-up wait-replay wait-replay wait-replay
+catching-up in-copy !in-copy wait-replay wait-replay lead
+catching-up in-copy catching-up NULL wait-replay NULL
+catching-up in-copy in-copy NULL wait-replay wait-replay
+in-copy !catching-up catching-up wait-replay wait-replay wait-replay
+in-copy !catching-up in-copy wait-replay wait-replay wait-replay
+in-copy !in-copy catching-up wait-replay lead wait-replay
+in-copy !in-copy in-copy wait-replay lead wait-replay
+in-copy catching-up !catching-up wait-replay wait-replay wait-replay
+in-copy catching-up !in-copy wait-replay wait-replay lead
+in-copy catching-up catching-up wait-replay NULL NULL
+in-copy catching-up in-copy wait-replay NULL wait-replay
+in-copy in-copy !catching-up wait-replay wait-replay wait-replay
+in-copy in-copy !in-copy wait-replay wait-replay lead
+in-copy in-copy catching-up wait-replay wait-replay NULL
+in-copy in-copy in-copy lead wait-copy wait-copy
+""".split()
+_COPIES = [(n // 6, n % 6 + 1, COPY_ROLES[n], COPY_ROLES[n + 3]) for n in range(len(COPY_ROLES)) if n % 6 < 3]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('t{t:02}', 'part{p}', {'NULL' if r == 'NULL' else repr(r)})" for t, p, _, r in _COPIES) + ") v(table_name, queue, copy_role)")
 def copy_coordination(spark, d):
-    t = _tables(spark, d).select(F.concat(F.lit("q"), "n_nationkey").alias("queue"), F.col("n_regionkey").alias("table_name"), F.col("merge_state").alias("state"))
-    return N.copy_roles(t)
+    rows = [(f"part{p}", f"t{t:02}", s.lstrip("!"), "x" if s[0] == "!" else None, True, "all") for t, p, s, _ in _COPIES]
+    rows += [(f"part{p}", f"t{t:02}", "ok", None, True, "other") for t, p, _, _ in _COPIES]  # of another combined queue: no part in it
+    parts = spark.createDataFrame(rows, "queue string, table_name string, state string, dropped_ddl string, local boolean, combined string")
+    return N.copy_roles(parts).where("state <> 'ok'").select("table_name", "queue", "copy_role")
 
 
 @query(f"WITH ok AS (SELECT n_name FROM nation WHERE {_STATES} = 'ok'), p AS (SELECT a.n_name AS from_table, b.n_name AS to_table FROM nation a JOIN nation b ON b.n_nationkey % 6 = 5) SELECT from_table, to_table FROM p WHERE from_table IN (SELECT n_name FROM ok) AND to_table IN (SELECT n_name FROM ok)")
@@ -506,16 +568,11 @@ def resurrect_lost(spark, d):
     return S.evlog(spark, d).join(t, visible(F.col("ev_txid"), F.col("cur")) & ~visible(F.col("ev_txid"), F.col("last"))).select("ev_id")
 
 
-@query(_seed("SELECT 'public.users' AS ev_extra1, count(*) FILTER (op = 'I') AS inserts, count(*) FILTER (op = 'U') AS updates, count(*) FILTER (op = 'D') AS deletes, bool_and(op = 'I') AS can_rollback FROM batched WHERE batch_tick > 5"))
+@query(_seed("SELECT 'public.users' AS ev_extra1, count(*) FILTER (op = 'I') AS inserts, count(*) FILTER (op = 'U') AS updates, count(*) FILTER (op = 'D') AS deletes, bool_and(op <> 'U') AS can_rollback FROM batched WHERE batch_tick > 5"))
 def resurrect_stats(spark, d):
     return N.lost_stats(_log(spark, d).where("batch_tick > 5"))
 
 
-@query("SELECT event_type AS queue, count(*) AS n, max(event_id) AS last_ev FROM events GROUP BY 1")
-def queue_splitter(spark, d):
-    return S.table(spark, d, "events").select(F.col("event_type").alias("queue"), "event_id").groupBy("queue").agg(F.count("*").alias("n"), F.max("event_id").alias("last_ev"))
-
-
 # ---- functions
 
 @query("SELECT page_id, url AS decoded FROM pages")
@@ -529,19 +586,32 @@ def quote_literal(spark, d):
     return S.table(spark, d, "documents").select("doc_id", C.quote_literal(F.col("text")).alias("lit"))
 
 
-@query("SELECT r_regionkey, '\"' || r_name || '\"' AS ident, 'public.' || '\"' || r_name || '\"' AS full_name FROM region")
+_IDENTS = {"fetch": '"fetch"', "over": '"over"', "lateral": '"lateral"', "collation": '"collation"', "plain_1": "plain_1", "1st": '"1st"', "": '""', "a b": '"a b"', 'q"q': '"q""q"', "Baz": '"Baz"', "select": '"select"', "selected": "selected"}
+
+
+@query("SELECT r_regionkey, '\"' || r_name || '\"' AS ident, 'public.' || '\"' || r_name || '\"' AS full_name FROM region UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(-1, '{v}', 'public.{v}')" for v in _IDENTS.values()) + ") v")
 def quote_ident(spark, d):
-    return S.table(spark, d, "region").select("r_regionkey", C.quote_ident(F.col("r_name")).alias("ident"), C.quote_full_name(F.col("r_name")).alias("full_name"))
+    names = S.table(spark, d, "region").select("r_regionkey", "r_name").union(spark.createDataFrame([(-1, k) for k in _IDENTS], "r_regionkey int, r_name string"))
+    return names.select("r_regionkey", C.quote_ident(F.col("r_name")).alias("ident"), C.quote_full_name(F.col("r_name")).alias("full_name"))
 
 
-@query("SELECT p_partkey, '{' || p_size || ',NULL,\"' || p_brand || ' x\"}' AS arr FROM part")
+@query("SELECT p_partkey, '{' || p_size || ',NULL,\"' || p_brand || '\",\"\",a-b,\"a:b\",' || lower(replace(p_brand, '#', '')) || '}' AS arr FROM part")
 def pgarray(spark, d):
-    return S.table(spark, d, "part").select("p_partkey", C.pg_array(F.array(F.col("p_size").cast("string"), F.lit(None).cast("string"), F.concat("p_brand", F.lit(" x")))).alias("arr"))
+    items = [F.col("p_size").cast("string"), F.lit(None).cast("string"), F.col("p_brand"), F.lit(""), F.lit("a-b"), F.lit("a:b"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))]
+    return S.table(spark, d, "part").select("p_partkey", C.pg_array(F.array(*items)).alias("arr"))
+
+
+@query("SELECT p_partkey, p_brand || '\"\\,' AS a, p_name AS b, 4 AS n FROM part")
+def pgarray_round_trip(spark, d):
+    items = F.array(F.concat("p_brand", F.lit('"\\,')), "p_name", F.lit(None).cast("string"), F.lit(""))
+    back = C.parse_pg_array(F.concat(F.lit("[0,3]="), C.pg_array(items)))
+    return S.table(spark, d, "part").select("p_partkey", back.alias("x")).where("x[2] is null and x[3] = ''").select("p_partkey", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.size("x").alias("n"))
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
 def natsort(spark, d):
-    named = S.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("cust-"), "c_custkey", F.lit(".x")).alias("name"))
+    long = F.concat(F.lit("007"), F.repeat(F.lit("9"), F.lit(24)))  # digits beyond any number type
+    named = S.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("cust-"), long, F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(".x")).alias("name"))
     w = Window.orderBy(C.natural_key(F.col("name")))  # a total order is the feature: one task sorts a small table
     return named.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
 

@@ -82,11 +82,13 @@ def tree_lines(nodes: DataFrame, root: str) -> list[str]:
     return out
 
 
-def copy_source(nodes: DataFrame, tables: DataFrame, wanted: str, node: str) -> str | None:
-    """The nearest node up the tree whose copy of the table is complete."""
-    up = closure(nodes).where(F.col("below") == node).where("depth > 0").join(tables.where((F.col("table_name") == wanted) & (F.col("state") == "ok")), "node")
-    row = up.orderBy("depth").select("node").first()
-    return row["node"] if row else None
+def copy_sources(nodes: DataFrame, complete: DataFrame) -> DataFrame:
+    """(node, source): for every node but the root the nearest one up the tree
+    among those complete (node), null where there is none."""
+    up = closure(nodes).where("depth > 0").join(complete.select("node").distinct(), "node", "left_semi")
+    near = up.groupBy(F.col("below").alias("n")).agg(F.min_by("node", "depth").alias("source"))
+    below = nodes.where("provider is not null and provider <> node").select("node")
+    return below.join(near, below["node"] == near["n"], "left").select("node", "source")
 
 
 def copy_roles(parts: DataFrame) -> DataFrame:

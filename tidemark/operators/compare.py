@@ -62,3 +62,21 @@ def repair_sql(src: DataFrame, dst: DataFrame, table: str, key: list[str], colum
     guard = F.concat_ws(" and ", is_key, *(hit(c, F.when(F.col(f"d_{c}").isNull(), F.concat(ident(c), F.lit(" is null"))).otherwise(F.concat(ident(c), F.lit(" = "), quote_literal(F.col(f"d_{c}"))))) for c in rest))
     sql = F.when(F.col("op") == "insert", insert).when(F.col("op") == "update", F.concat(F.lit(f"update only {table} set "), sets, F.lit(" where "), guard, F.lit(";"))).otherwise(F.concat(F.lit(f"delete from only {table} where "), is_key, F.lit(";")))
     return d.select(*key, "op", sql.alias("sql"))
+
+
+def pivot_last(rows: DataFrame, keys: list[str], name: str, value: str, order: str, names: list[str]) -> DataFrame:
+    """Long to wide: one row per key, of each name the last value in order."""
+    return rows.groupBy(*keys).pivot(name, names).agg(F.max_by(value, order))
+
+
+def stat_sums(lines: DataFrame, column: str) -> DataFrame:
+    """(key, total, whole) over lines ``{k: 1, k2: 2.5}``: sums per key, exact;
+    whole if no value had a decimal point."""
+    pairs = lines.select(F.explode(F.regexp_extract_all(column, F.lit(r"([\w.-]+: -?[0-9.]+)"), F.lit(1))).alias("p"))
+    number = F.substring_index("p", ": ", -1)
+    return pairs.groupBy(F.substring_index("p", ": ", 1).alias("key")).agg(F.sum(number.cast("decimal(28,6)")).alias("total"), ~F.bool_or(F.contains(number, F.lit("."))).alias("whole"))
+
+
+def records_by_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key its records, in a fixed order."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*(c for c in rows.columns if c not in keys)))).alias("records"))

@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(times) if times else df
 
 
+def evlog_type():
+    """The type that an event of the log has by its payload."""
+    kind = F.regexp_extract("ev_data", "event_type=([a-z]+)", 1)
+    return F.concat(F.when(kind == "signup", "I").when(kind == "error", "D").otherwise("U"), F.lit(":user_id"))
+
+
 def evlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "error", "D").otherwise("U")
     null = F.lit(None).cast("string")

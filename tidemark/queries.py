@@ -623,16 +623,15 @@ def iso_ts(spark, d):
     return o.select("o_orderkey", C.iso_timestamp(text).alias("at"))
 
 
-@query("SELECT user_id, sum(value) FILTER (event_type = 'click') AS click, sum(value) FILTER (event_type = 'view') AS \"view\" FROM events GROUP BY 1")
+@query("SELECT user_id, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS \"view\" FROM events GROUP BY 1")
 def pivot_metrics(spark, d):
-    return S.table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.sum("value"))
+    return R.pivot_last(S.table(spark, d, "events"), ["user_id"], "event_type", "value", "event_id", ["click", "view"])
 
 
-@query("SELECT 'k' || (event_id % 3) AS key, sum(event_id)::BIGINT AS total FROM events GROUP BY 1")
+@query("SELECT 'k' || (event_id % 3) AS key, sum(event_id)::DOUBLE AS total FROM events GROUP BY 1 UNION ALL SELECT 'f', sum(event_id % 7 + 0.5)::DOUBLE FROM events")
 def stats_aggregate(spark, d):
-    line = S.table(spark, d, "events").select(F.concat(F.lit("{k"), F.col("event_id") % 3, F.lit(": "), "event_id", F.lit("}")).alias("line"))
-    pairs = line.select(F.explode(F.regexp_extract_all("line", F.lit(r"(\w+: -?[0-9.]+)"), F.lit(1))).alias("p"))
-    return pairs.groupBy(F.substring_index("p", ": ", 1).alias("key")).agg(F.sum(F.substring_index("p", ": ", -1).cast("long")).alias("total"))
+    line = F.concat(F.lit("{k"), F.col("event_id") % 3, F.lit(": "), "event_id", F.lit(", f: "), (F.col("event_id") % 7).cast("string"), F.lit(".5}"))
+    return R.stat_sums(S.table(spark, d, "events").select(line.alias("line")), "line").select("key", F.col("total").cast("double").alias("total"))
 
 
 @query()
@@ -640,3 +639,6 @@ def hashtext(spark, d):
     from .functions.hashes import hashtext_new, hashtext_old
 
     return S.table(spark, d, "customer").select("c_custkey", hashtext_old(F.col("c_name")).alias("old"), hashtext_new(F.col("c_name")).alias("new"))
+
+
+from . import state_queries  # noqa: E402, F401  (adds its queries)

@@ -21,6 +21,18 @@ def share_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the one that driver and executors share
+    (``spark.checkpoint.dir``); without one, only a local master will do."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
+    return f"{(found or tempfile.gettempdir()).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str = "8", memory: str = "8g", shuffles: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (

@@ -35,6 +35,13 @@ class State:
         rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("overwrite").parquet(f"{self.path}/v-{nr}")
         return nr
 
+    def prune(self, keep: int = 2) -> None:
+        """Deletes all but the newest versions: readers of the one before may still be at work."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for nr in self._versions()[:-keep]:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{nr}")
+            old.getFileSystem(conf).delete(old, True)
+
     def upsert(self, rows: DataFrame, key: list[str]) -> int:
         old = self.load().join(rows.select(*key), key, "left_anti")
         return self.save(old.unionByName(rows))

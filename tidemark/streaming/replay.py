@@ -31,6 +31,7 @@ def replayer(table: State, key: list[str], payload: list[str], order: str = "ev_
 
     def run(batch: DataFrame, batch_id: int) -> None:
         table.save(apply_changes(table.load(), net_change(batch, key, payload, order), key, payload))
+        table.prune()
 
     return run
 
@@ -38,3 +39,10 @@ def replayer(table: State, key: list[str], payload: list[str], order: str = "ev_
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """Events per window and type; what is later than the watermark is left out."""
     return events.withWatermark("ev_time", late).groupBy(F.window("ev_time", width).alias("w"), "ev_type").agg(F.count("*").alias("n"))
+
+
+def per_batch(expressions: dict[str, str], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands SQL expressions over each event to a sink."""
+    from ..operators.handlers import per_event
+
+    return lambda batch, batch_id: sink(per_event(batch, expressions), batch_id)

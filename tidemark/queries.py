@@ -64,16 +64,12 @@ def batch_cursor_limit_where(spark, d):
     return B.batch_events(S.evlog(spark, d), S.ticks(spark, d), 7, where="ev_type like 'U:%'", limit=20).select("ev_id", "ev_txid")
 
 
-@query(_seed(f"SELECT t.tick_id, e.n AS n_visible FROM tk t JOIN (SELECT t.tick_id, count(*) AS n FROM tk t JOIN evlog e ON e.ev_txid < t.xmax AND NOT (e.ev_txid % {S.STRIDE} = 0 AND e.ev_txid >= t.xmax - {S.LATE}) WHERE t.tick_id % 10 = 1 GROUP BY 1) e ON e.tick_id = t.tick_id"))
+@query(_seed(f"SELECT t.tick_id, coalesce(sum(e.n), 0)::BIGINT AS n_visible FROM tk t LEFT JOIN (SELECT ev_txid, count(*) AS n FROM evlog GROUP BY 1) e ON e.ev_txid < t.xmax AND NOT (e.ev_txid % {S.STRIDE} = 0 AND e.ev_txid >= t.xmax - {S.LATE}) GROUP BY 1"))
 def snapshot_visibility(spark, d):
-    t = S.ticks(spark, d).where("tick_id % 10 = 1").select("tick_id", "tick_snapshot")
-    by_tx = S.evlog(spark, d).groupBy("ev_txid").agg(F.count("*").alias("n"))
-    return by_tx.join(t, visible(F.col("ev_txid"), F.col("tick_snapshot"))).groupBy("tick_id").agg(F.sum("n").alias("n_visible"))
+    return B.visible_counts(S.evlog(spark, d), S.ticks(spark, d))
 
 
-@query(_seed(f"SELECT t.tick_id, coalesce(sum(e.n), 0)::BIGINT AS n_visible FROM tk t LEFT JOIN (SELECT ev_txid, count(*) AS n FROM evlog GROUP BY 1) e ON e.ev_txid < t.xmax AND NOT (e.ev_txid % {S.STRIDE} = 0 AND e.ev_txid >= t.xmax - {S.LATE}) GROUP BY 1"))
-def snapshot_visibility_all(spark, d):
-    return B.visible_counts(S.evlog(spark, d), S.ticks(spark, d))
+QUERIES["snapshot_visibility_all"], ORACLES["snapshot_visibility_all"] = snapshot_visibility, ORACLES["snapshot_visibility"]
 
 
 @query(_seed(f"SELECT t.tick_id, t.xmax, coalesce(min(x.x), t.xmax) AS xmin, count(x.x) AS n_xip, t2.txt AS snap FROM tk t LEFT JOIN (SELECT tick_id, unnest(range(greatest(xmax - {S.LATE}, {S.FIRST_TX}), xmax)) AS x FROM tk) x ON x.tick_id = t.tick_id AND x.x % {S.STRIDE} = 0 JOIN (SELECT t.tick_id, coalesce(min(x), t.xmax)::VARCHAR || ':' || t.xmax || ':' || coalesce(string_agg(x::VARCHAR, ',' ORDER BY x), '') AS txt FROM tk t LEFT JOIN (SELECT tick_id, unnest(range(greatest(xmax - {S.LATE}, {S.FIRST_TX}), xmax)) AS x FROM tk) y ON y.tick_id = t.tick_id AND y.x % {S.STRIDE} = 0 GROUP BY t.tick_id, t.xmax) t2 ON t2.tick_id = t.tick_id GROUP BY t.tick_id, t.xmax, t2.txt"))
@@ -217,16 +213,13 @@ def coop_assign(spark, d):
     return B.coop_batches(S.ticks(spark, d), 10, 3).select("tick_id", "worker")
 
 
-@query("SELECT grp, arg_min(member, (active, member)) AS member, arg_min(batch, (active, member)) AS batch FROM (SELECT 'g' || (event_id % 5) AS grp, 'm' || event_id AS member, ts AS active, event_id AS batch FROM events WHERE event_id < 200) WHERE epoch((SELECT max(ts) FROM events)) - epoch(active) > 3600 GROUP BY 1")
+@query("SELECT grp, arg_min(member, (active, member)) AS member, arg_min(batch, (active, member)) AS batch FROM (SELECT 'g' || (event_id % 5) AS grp, 'm' || event_id AS member, ts AS active, event_id AS batch FROM events) WHERE epoch((SELECT max(ts) FROM events)) - epoch(active) > 3600 GROUP BY 1")
 def coop_takeover(spark, d):
-    m = S.table(spark, d, "events").where("event_id < 200").select(F.concat(F.lit("g"), F.col("event_id") % 5).alias("grp"), F.concat(F.lit("m"), "event_id").alias("member"), F.col("ts").alias("active"), F.col("event_id").alias("batch"))
+    m = S.table(spark, d, "events").select(F.concat(F.lit("g"), F.col("event_id") % 5).alias("grp"), F.concat(F.lit("m"), "event_id").alias("member"), F.col("ts").alias("active"), F.col("event_id").alias("batch"))
     return B.coop_takeover(m, _now(spark, d), 3600)
 
 
-@query("SELECT grp, arg_min(member, (active, member)) AS member, arg_min(batch, (active, member)) AS batch FROM (SELECT 'g' || (event_id % 5) AS grp, 'm' || event_id AS member, ts AS active, event_id AS batch FROM events) WHERE epoch((SELECT max(ts) FROM events)) - epoch(active) > 3600 GROUP BY 1")
-def coop_takeover_all(spark, d):
-    m = S.table(spark, d, "events").select(F.concat(F.lit("g"), F.col("event_id") % 5).alias("grp"), F.concat(F.lit("m"), "event_id").alias("member"), F.col("ts").alias("active"), F.col("event_id").alias("batch"))
-    return B.coop_takeover(m, _now(spark, d), 3600)
+QUERIES["coop_takeover_all"], ORACLES["coop_takeover_all"] = coop_takeover, ORACLES["coop_takeover"]
 
 
 @query(_seed("SELECT 'c' || (tick_id % 4) AS consumer, tick_id AS batch_id FROM tk WHERE NOT (tick_id > 0 AND tick_id = (SELECT max(t.tick_id) FROM tk t WHERE t.tick_id % 4 = tk.tick_id % 4 AND t.tick_id < 60))"))
@@ -235,14 +228,12 @@ def exactly_once_dedupe(spark, d):
     return B.not_done(b, b.where("batch_id < 60"))
 
 
-@query(_seed("SELECT tick_id, CASE WHEN tick_id - 1 = 12 THEN 'process' WHEN tick_id = 12 THEN 'skip' ELSE 'lost' END AS step FROM tk WHERE tick_id BETWEEN 10 AND 15"))
+@query(_seed("SELECT tick_id, CASE WHEN tick_id - 1 = 12 THEN 'process' WHEN tick_id = 12 THEN 'skip' ELSE 'lost' END AS step FROM tk"))
 def serial_position_check(spark, d):
-    return S.ticks(spark, d).where("tick_id between 10 and 15").select("tick_id", B.position(F.col("tick_id") - 1, F.col("tick_id"), F.lit(12)).alias("step"))
+    return S.ticks(spark, d).select("tick_id", B.position(F.col("tick_id") - 1, F.col("tick_id"), F.lit(12)).alias("step"))
 
 
-@query(_seed("SELECT tick_id, CASE WHEN tick_id - 1 = 12 THEN 'process' WHEN tick_id = 12 THEN 'skip' ELSE 'lost' END AS step FROM tk"))
-def serial_position_check_all(spark, d):
-    return S.ticks(spark, d).select("tick_id", B.position(F.col("tick_id") - 1, F.col("tick_id"), F.lit(12)).alias("step"))
+QUERIES["serial_position_check_all"], ORACLES["serial_position_check_all"] = serial_position_check, ORACLES["serial_position_check"]
 
 
 @query(_seed("SELECT ev_id FROM evlog WHERE op = 'I'"))
@@ -331,26 +322,19 @@ def shard_filter(spark, d):
     return S.table(spark, d, "events").where(A.in_shard(F.col("user_id"), 3, 2)).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH b AS (SELECT user_id, arg_max(value, event_id) AS value, max(ts) AS ts FROM events WHERE event_id < 500 GROUP BY 1),
- c AS (SELECT user_id, arg_max(value, (ts, -event_id)) AS value, max(ts) AS ts FROM events WHERE event_id % 3 = 0 GROUP BY 1)
- SELECT coalesce(b.user_id, c.user_id) AS user_id, CASE WHEN c.user_id IS NOT NULL AND (b.user_id IS NULL OR c.ts > b.ts) THEN c.value ELSE b.value END AS value FROM b FULL JOIN c ON b.user_id = c.user_id""")
-def lww_conflict(spark, d):
-    e = S.table(spark, d, "events")
-    base = e.where("event_id < 500").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("ts").alias("ts"))
-    changes = e.where("event_id % 3 = 0").select("user_id", "value", "ts", F.col("event_id").alias("ev_id"))
-    return A.newest_wins(changes, base, ["user_id"], "ts", ["value"]).select("user_id", "value")
-
-
 @query("""WITH b AS (SELECT user_id, arg_max(value, event_id) AS value, max(ts) AS ts FROM events WHERE event_id % 2 = 0 GROUP BY 1),
  c AS (SELECT user_id, arg_max(value, (ts, -event_id)) AS value, max(ts) AS ts FROM events WHERE event_id % 2 = 1 GROUP BY 1)
  SELECT coalesce(b.user_id, c.user_id) AS user_id, CASE WHEN c.user_id IS NOT NULL AND (b.user_id IS NULL OR c.ts > b.ts) THEN c.value ELSE b.value END AS value FROM b FULL JOIN c ON b.user_id = c.user_id""")
-def lww_conflict_all(spark, d):
+def lww_conflict(spark, d):
     e = S.table(spark, d, "events")
     base = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("ts").alias("ts"))
     changes = e.where("event_id % 2 = 1").select("user_id", "value", "ts", F.col("event_id").alias("ev_id"))
     return A.newest_wins(changes, base, ["user_id"], "ts", ["value"]).select("user_id", "value")
 
 
+QUERIES["lww_conflict_all"], ORACLES["lww_conflict_all"] = lww_conflict, ORACLES["lww_conflict"]
+
+
 @query("WITH e AS (SELECT event_id AS ev_id, 't' || (user_id % 5) AS t, event_id % 701 = 700 AS r FROM events), c AS (SELECT t, max(ev_id) AS m FROM e WHERE r GROUP BY 1) SELECT e.t AS ev_extra1, count(*) AS n FROM e LEFT JOIN c ON c.t = e.t WHERE NOT r AND (m IS NULL OR ev_id > m) GROUP BY 1")
 def truncate_cutoff(spark, d):
     e = S.table(spark, d, "events").select(F.col("event_id").alias("ev_id"), F.concat(F.lit("t"), F.col("user_id") % 5).alias("ev_extra1"), F.when(F.expr("event_id % 701 = 700"), "R").otherwise("U:id").alias("ev_type"))

@@ -175,13 +175,15 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> t
     """(order of the suffixes by their first depth bytes, group number of each
     place in that order; suffixes equal over depth bytes are one group)."""
     padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-    big = _eights(padded).byteswap()
-    order = np.argsort(big[starts], kind="stable")
-    key = big[starts[order]]
+    big = _eights(padded).byteswap(inplace=True)
+    starts = starts.astype(np.int32)
+    key = big[starts]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     new = np.r_[True, key[1:] != key[:-1]] if len(order) else np.zeros(0, bool)
     for d in range(8, SHALLOW, 8):
         # The groups of several suffixes, one character deeper.
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
         live = np.flatnonzero((np.bincount(group) > 1)[group]) if len(order) else []
         if not len(live):
             break
@@ -202,7 +204,7 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH) -> t
             order[at : at + len(items)] = items
             new[at] = True
             at += len(items)
-    return order, np.cumsum(new) - 1
+    return order, np.cumsum(new, dtype=np.int32) - np.int32(1)
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -364,6 +366,18 @@ def _fragments(n: int):
     return run
 
 
+#: Fragments whose bytes are compared in one vector step.
+COMPARED = 1 << 14
+
+
+def _places(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … of each run of so many, end to end."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(begin - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
 def least_documents(heads: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each fragment's windows begin in the result, the smallest document
     of every window), over fragments and their texts end to end."""
@@ -378,11 +392,13 @@ def least_documents(heads: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, n
     new = np.r_[True, (h["anchor"][1:] != h["anchor"][:-1]) | (h["whole"][1:] != h["whole"][:-1]) | (h["count"][1:] != h["count"][:-1])]
     # Hashes say that they are equal, bytes decide; those that differ are sorted apart.
     like = np.flatnonzero(~new)
-    sizes = counts[order[like]] + LENGTH - 1
-    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    unlike = texts[np.repeat(begin[order[like]], sizes) + inner] != texts[np.repeat(begin[order[like - 1]], sizes) + inner]
-    if unlike.any():
-        new[like[np.unique(np.repeat(np.arange(len(like)), sizes)[unlike])]] = True
+    for i in range(0, len(like), COMPARED):
+        some = like[i : i + COMPARED]
+        sizes = counts[order[some]] + LENGTH - 1
+        a, b = (texts[_places(begin[order[x]], sizes)] for x in (some, some - 1))
+        unlike = a != b
+        if unlike.any():
+            new[some[np.unique(np.repeat(np.arange(len(some)), sizes)[unlike])]] = True
     kind = np.empty(len(heads), np.int64)
     kind[order] = np.cumsum(new) - 1
     one = order[np.flatnonzero(new)]
@@ -390,8 +406,10 @@ def least_documents(heads: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, n
     n = counts[one]
     at = np.concatenate([[0], np.cumsum(n)])
     found = np.repeat(least, n)
-    starts = np.repeat(begin[one] - at[:-1], n) + np.arange(at[-1])
-    order, group = deep_shallow(texts, starts)
+    # Of the text, too, only that of different fragments.
+    sizes = n + LENGTH - 1
+    texts = texts[_places(begin[one], sizes)]
+    order, group = deep_shallow(texts, _places(np.cumsum(sizes) - sizes, n))
     lows = np.minimum.reduceat(found[order], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))
     found[order] = lows[group]
     places = np.repeat(at[kind], counts) + np.arange(first[-1]) - np.repeat(first[:-1], counts)
@@ -487,7 +505,7 @@ def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     chunks = pinned(_chunks(docs))
     n_chunks = chunks.count()
     # Widths grow with the text, so what a task reads doesn't; twice as many parts as buckets, as a part may get several.
-    n = max(1, -(-n_chunks * CHUNK_BYTES // (14 * BUCKET)))
+    n = max(1, -(-n_chunks * CHUNK_BYTES // (8 * BUCKET)))
     width, wide = max(parts(spark), n_chunks * CHUNK_BYTES // PART_BYTES), max(parts(spark), 2 * n)
     bits = _anchors(chunks, n).repartition(wide, "bucket").groupBy("bucket").applyInArrow(lean_group(_shared), "chunk long, bucket int, bits binary")
     placed = chunks.repartition(width, "chunk")

@@ -58,6 +58,23 @@ def test_matches_brute_force(spark, monkeypatch, k, block):
     assert got == brute(given, k)
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_long_chain_in_small_blocks(spark, monkeypatch, block):
+    """Windows that slide over one text: neighbours are linked or only loosely
+    alike, and canopies tie all of them into one candidate group."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "ENVOYS", 2)
+    words = [f"c{i}" for i in np.random.default_rng(8).permutation(2000)]
+    given, at = [], 0
+    for n in range(120):
+        given.append((n * 7 % 120, " ".join(words[at : at + 60])))
+        at += (3, 5, 8, 12)[n % 4]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(df, words=2).collect()), key=repr)
+    assert got == brute(given, 2)
+    assert 3 < len({c for _, _, c in got}) < 120
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 62, 1000).astype(np.uint64)

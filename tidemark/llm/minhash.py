@@ -281,10 +281,14 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
 
     Each candidate group is compared in blocks of bounded size. First a block
     meets itself and a few members of its whole group, which ties the blocks'
-    large components together; then what is outside a group's largest
-    component meets every block.
+    large components together. That settles groups of one block. In larger
+    ones every pair that is left lies in one canopy, a pivot with what is LOOSE
+    to it: in a canopy that still has several components, what is outside its
+    largest one meets the canopy's blocks. A group that canopies chain
+    together, however long, so costs the sum of its canopies.
     """
-    groups = pinned(components(_candidates(reps)).toDF("id", "grp"))
+    edges = _candidates(reps)
+    groups = pinned(components(edges).toDF("id", "grp"))
     sets = pinned(_sets(docs, reps.select("id", "set_key").join(groups, "id", "left_semi"), words))
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = pinned(groups.join(sizes, "grp").select("grp", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
@@ -297,11 +301,14 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
     if not big.limit(1).count():
         return links
     comps = pinned(components(links)).toDF("id", "comp")
-    named = pinned(big.join(comps, "id", "left").select("grp", "id", "blocks", "block", F.coalesce("comp", "id").alias("comp")))
-    largest = named.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
-    marked = named.join(largest, "grp")
-    home = marked.select("grp", "id", "block", "comp")
-    away = marked.where("comp <> top").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "comp")
+    named = pinned(big.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    pivots = named.select(F.col("id").alias("grp"))
+    ties = edges.toDF("grp", "id").join(pivots, "grp", "left_semi")
+    canopies = pinned(ties.union(ties.select("grp", F.col("grp").alias("id")).distinct()).join(named, "id").select("grp", "id", "comp"))
+    parts = canopies.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("comps"))
+    marked = canopies.join(parts.where("comps > 1"), "grp")
+    home = marked.select("grp", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "comp")
+    away = marked.where("comp <> top and blocks > 1").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "comp")
     again = home.union(away).join(sets, "id").select("grp", "block", "id", "comp", "shingles")
     return links.union(pinned(_tied(again, percent)))
 

@@ -75,6 +75,26 @@ def test_long_chain_in_small_blocks(spark, monkeypatch, block):
     assert 3 < len({c for _, _, c in got}) < 120
 
 
+def test_a_group_is_met_whole_or_by_canopies(spark, monkeypatch):
+    """A chain of small canopies is met by canopies, three canopies that hold
+    all of a group are not; each pair of a canopy that is open meets."""
+    monkeypatch.setattr(M, "BLOCK", 4)
+    chain = [(i, i + k) for i in range(0, 58, 2) for k in (1, 2)]
+    hot = [(p, i) for p in (100, 101, 102) for i in range(p + 1, 130)]
+    named = [(0, i, i) for i in range(59)] + [(100, i, 100 if i < 125 else i) for i in range(100, 130)]
+    got = M._left_open(spark.createDataFrame(chain + hot, "a long, b long"), spark.createDataFrame(named, "grp long, id long, comp long")).collect()
+    comp = {i: c for _, i, c in named}
+    blocks = {}
+    for r in got:
+        assert r.comp == comp[r.id]
+        blocks.setdefault((r.grp, r.block), set()).add(r.id)
+    for p in {a for a, _ in chain + hot}:
+        ids = [p] + [b for a, b in chain + hot if a == p]
+        assert all(any({x, y} <= b for b in blocks.values()) for x in ids for y in ids if comp[x] != comp[y])
+    assert max(map(len, (b for (g, _), b in blocks.items() if g < 100))) == 3
+    assert {g for g, _ in blocks if g >= 100} == {100}
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     x = r.integers(0, 1 << 62, 1000).astype(np.uint64)

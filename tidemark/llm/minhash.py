@@ -276,16 +276,51 @@ def _tied(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("grp", "block").applyInArrow(lean_group(run), "a long, b long")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (grp, id, comp, of) of groups, with their groups' figures: top, the
+    largest component, n, blocks, and cost, the rows that _dealt makes of them."""
+    sizes = rows.groupBy("of", "grp", "comp").agg(F.count("*").alias("m"))
+    sums = sizes.groupBy("of", "grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.sum("m").alias("n"), F.max("m").alias("most")).where("most < n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    return sums.select("of", "grp", "top", blocks.alias("blocks"), (F.col("n") + F.when(blocks > 1, (F.col("n") - F.col("most")) * blocks).otherwise(0)).alias("cost"))
+
+
+def _dealt(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(grp, id, block, comp): a row in its own block and, if it is outside its
+    group's largest component, in all of the group's blocks."""
+    marked = rows.join(met.select("of", "grp", "top", "blocks"), ["of", "grp"])
+    home = marked.select("grp", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "comp")
+    away = marked.where("comp <> top and blocks > 1").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "comp")
+    return home.union(away)
+
+
+def _left_open(edges: DataFrame, named: DataFrame) -> DataFrame:
+    """What is still to be compared in large groups, named (grp, id, comp), as
+    (grp, id, block, comp).
+
+    Either a whole group's blocks are met, or those of its canopies, a pivot
+    with what is LOOSE to it: any pair that can be linked lies in one. Few
+    canopies that each hold most of the group cost more than the group itself;
+    many small ones that chain together cost their sum, where the group would
+    cost its square. Each group takes the cheaper way.
+    """
+    whole = named.withColumn("of", F.col("grp"))
+    ties = edges.toDF("grp", "id").join(named.select(F.col("id").alias("grp")), "grp", "left_semi")
+    ends = ties.union(ties.select("grp", F.col("grp").alias("id")).distinct())
+    canopies = pinned(ends.join(named.select("id", "comp", F.col("grp").alias("of")), "id").select("grp", "id", "comp", "of"))
+    of_whole, of_canopies = pinned(_met(whole)), pinned(_met(canopies))
+    other = of_canopies.groupBy("of").agg(F.sum("cost").alias("sum"))
+    split = pinned(of_whole.join(other, "of").where("sum < cost").select("of"))
+    return _dealt(whole, of_whole.join(split, "of", "left_anti")).union(_dealt(canopies, of_canopies.join(split, "of", "left_semi")))
+
+
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) between classes, whose components are those of all links.
 
     Each candidate group is compared in blocks of bounded size. First a block
     meets itself and a few members of its whole group, which ties the blocks'
     large components together. That settles groups of one block. In larger
-    ones every pair that is left lies in one canopy, a pivot with what is LOOSE
-    to it: in a canopy that still has several components, what is outside its
-    largest one meets the canopy's blocks. A group that canopies chain
-    together, however long, so costs the sum of its canopies.
+    ones what is outside the largest component meets what is left to meet.
     """
     edges = _candidates(reps)
     groups = pinned(components(edges).toDF("id", "grp"))
@@ -301,15 +336,8 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
     if not big.limit(1).count():
         return links
     comps = pinned(components(links)).toDF("id", "comp")
-    named = pinned(big.join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    pivots = named.select(F.col("id").alias("grp"))
-    ties = edges.toDF("grp", "id").join(pivots, "grp", "left_semi")
-    canopies = pinned(ties.union(ties.select("grp", F.col("grp").alias("id")).distinct()).join(named, "id").select("grp", "id", "comp"))
-    parts = canopies.groupBy("grp", "comp").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("comps"))
-    marked = canopies.join(parts.where("comps > 1"), "grp")
-    home = marked.select("grp", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "comp")
-    away = marked.where("comp <> top and blocks > 1").select("grp", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "comp")
-    again = home.union(away).join(sets, "id").select("grp", "block", "id", "comp", "shingles")
+    named = pinned(big.join(comps, "id", "left").select("grp", "id", F.coalesce("comp", "id").alias("comp")))
+    again = _left_open(edges, named).join(sets, "id").select("grp", "block", "id", "comp", "shingles")
     return links.union(pinned(_tied(again, percent)))
 
 

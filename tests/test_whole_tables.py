@@ -52,3 +52,16 @@ def test_every_event_is_a_member(spark, data):
             key = (e["ts"], f"m{e['event_id']}", e["event_id"])
             want[f"g{e['event_id'] % 5}"] = min(want.get(f"g{e['event_id'] % 5}", key), key)
     assert {x.grp: (x.member, x.batch) for x in QUERIES["coop_takeover_all"](spark, data).collect()} == {g: k[1:] for g, k in want.items()}
+
+
+def test_long_running_transactions_are_asked_for_by_id(spark):
+    snap = "struct<xmin:bigint,xmax:bigint,xip:array<bigint>>"
+    ticks = spark.createDataFrame(
+        [(1, 1, None, 0, (3, 100000, [3, 7, 99998])), (1, 2, None, 5, (7, 100100, [7]))],
+        f"tick_queue int, tick_id long, tick_time timestamp, tick_event_seq long, tick_snapshot {snap}",
+    )
+    tx = [3, 7, 50, 99997, 99998, 99999, 100050, 100100]
+    events = spark.createDataFrame([(i, t, None) for i, t in enumerate(tx)], "ev_id long, ev_txid long, ev_owner int")
+    second = B.batch_events(events, ticks, 2)
+    assert [r.ev_txid for r in second.collect()] == [3, 99998, 100050]
+    assert {r.ev_txid for r in B.batch_events(events, ticks, 1).collect()} == {50, 99997, 99999}

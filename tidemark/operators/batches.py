@@ -62,13 +62,14 @@ def visible_counts(events: DataFrame, ticks: DataFrame) -> DataFrame:
     return full.select("tick_id", (F.col("below") + none(F.col("inside")) - none(F.col("held"))).alias("n_visible"))
 
 
-def between(events: DataFrame, last: Column, cur: Column, lo: int | None = None, hi: int | None = None, owner: int | None = None) -> DataFrame:
+def between(events: DataFrame, last: Column, cur: Column, lo: int | None = None, hi: int | None = None, owner: int | None = None, also: tuple[int, ...] = ()) -> DataFrame:
     """Events visible in cur and not in last, of no owner or the given one.
-    lo and hi (inclusive) bound their transactions; as plain conjuncts they
-    reach the file scan, which set membership does not."""
+    lo and hi (inclusive) bound their transactions, also names some below lo; as
+    plain predicates they reach the file scan, which snapshots do not."""
     out = events
     if lo is not None:
-        out = out.where(F.col("ev_txid") >= lo)
+        from_lo = F.col("ev_txid") >= lo
+        out = out.where(from_lo | F.col("ev_txid").isin(*also) if also else from_lo)
     if hi is not None:
         out = out.where(F.col("ev_txid") <= hi)
     mine = F.col("ev_owner").isNull() | (F.col("ev_owner") == F.lit(owner)) if owner is not None else F.col("ev_owner").isNull()
@@ -77,15 +78,19 @@ def between(events: DataFrame, last: Column, cur: Column, lo: int | None = None,
 
 def batch_events(events: DataFrame, ticks: DataFrame, tick_id: int, where: str | None = None, limit: int | None = None) -> DataFrame:
     """The events of the batch that ends at tick_id, in order of ev_id; where is
-    a SQL predicate over them, limit the first rows only (a cursor's fetch)."""
+    a SQL predicate over them, limit the first rows only (a cursor's fetch). A
+    transaction that ran for long is asked for by its id, so that it doesn't
+    widen the range that is read."""
     row = _previous(ticks).where(F.col("tick_id") == tick_id).select("tick_snapshot", "prev_snapshot").first()
     if row is None:
         raise ValueError(f"no tick {tick_id}")
     snap = lambda s: F.struct(F.lit(s.xmin).cast("bigint").alias("xmin"), F.lit(s.xmax).cast("bigint").alias("xmax"), F.array(*map(F.lit, s.xip)).cast("array<bigint>").alias("xip"))
     cur, last = row["tick_snapshot"], row["prev_snapshot"]
-    lo = min([last.xmax, *(x for x in last.xip)]) if last else None
+    near = [x for x in last.xip if x >= last.xmax - BUCKET] if last else []
+    far = tuple(x for x in last.xip if x < last.xmax - BUCKET) if last else ()
+    lo = min([last.xmax, *near]) if last else None
     nothing = F.struct(F.lit(0).cast("bigint").alias("xmin"), F.lit(0).cast("bigint").alias("xmax"), F.array().cast("array<bigint>").alias("xip"))
-    out = between(events, snap(last) if last else nothing, snap(cur), lo, cur.xmax - 1)
+    out = between(events, snap(last) if last else nothing, snap(cur), lo, cur.xmax - 1, also=far)
     out = (out.where(F.expr(where)) if where else out).orderBy("ev_id")
     return out.limit(limit) if limit is not None else out
 

@@ -107,7 +107,7 @@ def merge_on_time(base: DataFrame, changes: DataFrame, key: list[str], stamp: st
             row = pickle.loads(blob).of(row)
         names = [*key, stamp, *payload]
         if row is None:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame()  # with columns, an empty one of text has no Arrow type that Spark takes
         first = (changes if len(changes) else old).iloc[0]
         return pd.DataFrame([[*(first[k] for k in key), *row]], columns=names)
 

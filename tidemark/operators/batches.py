@@ -3,6 +3,8 @@ queue and its consumers lag, retries, rotation, cooperation."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..model import visible
 
 #: Transactions per bucket of the range join between events and ticks.
 BUCKET = 4096
+#: Ticks, or groups of them, per group in the search for a later tick; how often they are grouped.
+FAN, LEVELS = 256, 2
 
 
 def _previous(ticks: DataFrame) -> DataFrame:
@@ -109,31 +113,69 @@ def next_batch(ticks: DataFrame, last: DataFrame, now: Column | None = None, min
     bound, the earliest tick that satisfies one of them is taken instead.
     min_lag: a tick younger than that many seconds at ``now`` gives none.
     """
-    t = ticks.select("tick_queue", "tick_id", "tick_time", "tick_event_seq")
-    base = t.toDF("tick_queue", "last_tick", "last_time", "last_seq")
-    c = last.join(base, ["tick_queue", "last_tick"])
-    later = c.join(t, "tick_queue").where("tick_id > last_tick")
-    seconds = F.unix_micros("tick_time") / 1e6 - F.unix_micros("last_time") / 1e6
-    events = F.col("tick_event_seq") - F.col("last_seq")
-    pick = F.min_by(F.struct("tick_id", "tick_time"), "tick_id")
+    # What comes next is the queue's and the tick's, not the consumer's: asked once per tick stood at.
+    t = ticks.select("tick_queue", "tick_id", F.unix_micros("tick_time").alias("us"), F.col("tick_event_seq").alias("seq"))
+    base = t.toDF("tick_queue", "last_tick", "last_us", "last_seq")
+    at = last.select("tick_queue", "last_tick").distinct().join(base, ["tick_queue", "last_tick"])
+    # Both rise with what they compare, so a group of ticks has one that is enough if its largest values are.
+    seconds = lambda us: us / 1e6 - F.col("last_us") / 1e6
+    events = lambda seq: seq - F.col("last_seq")
     if min_count is not None or min_interval is not None:
-        enough, far = F.lit(False), F.lit(False)
-        if min_count is not None:
-            enough, far = enough | (events >= min_count), far | (events > 2 * min_count)
-        if min_interval is not None:
-            enough, far = enough | (seconds >= min_interval), far | (seconds > 2 * min_interval)
-        later = later.select("*", enough.alias("enough"), far.alias("far"))
-        newest = F.max_by(F.struct("tick_id", "tick_time", "enough", "far"), "tick_id")
-        early = F.min_by(F.struct("tick_id", "tick_time"), F.when(F.col("enough"), F.col("tick_id")))
-        got = later.groupBy("consumer").agg(newest.alias("n"), early.alias("e"))
-        pick = F.when(F.col("n.far"), F.col("e")).when(F.col("n.enough"), F.struct(F.col("n.tick_id"), F.col("n.tick_time")))
-        found = got.select("consumer", pick.alias("p"))
+
+        def over(us: Column, seq: Column, times: int) -> Column:
+            out = F.lit(False)
+            if min_count is not None:
+                out = out | (events(seq) >= min_count if times == 1 else events(seq) > times * min_count)
+            if min_interval is not None:
+                out = out | (seconds(us) >= min_interval if times == 1 else seconds(us) > times * min_interval)
+            return F.coalesce(out, F.lit(False))
+
+        newest = t.groupBy("tick_queue").agg(F.max_by(F.struct("tick_id", "us", "seq"), "tick_id").alias("n"))
+        top = at.join(F.broadcast(newest), "tick_queue").where("n.tick_id > last_tick")
+        far, enough = over(F.col("n.us"), F.col("n.seq"), 2), over(F.col("n.us"), F.col("n.seq"), 1)
+        at = top.select(*at.columns, far.alias("seek"), F.when(enough & ~far, F.col("n.tick_id")).alias("whole"))
+        found = _first_later(t, at, lambda us, seq: over(us, seq, 1)).select("tick_queue", "last_tick", F.coalesce("found", "whole").alias("next_tick"))
     else:
-        found = later.groupBy("consumer").agg(pick.alias("p"))
-    tick = F.col("p.tick_id")
+        found = _first_later(t, at.withColumn("seek", F.lit(True)), lambda us, seq: F.lit(True)).select("tick_queue", "last_tick", F.col("found").alias("next_tick"))
     if min_lag is not None:
-        tick = F.when((F.unix_micros(now) - F.unix_micros(F.col("p.tick_time"))) / 1e6 >= min_lag, tick)
-    return last.join(found.select("consumer", tick.alias("next_tick")), "consumer", "left")
+        age = (F.unix_micros(now) - F.col("us")) / 1e6
+        found = found.join(t.withColumnRenamed("tick_id", "next_tick"), ["tick_queue", "next_tick"]).where(age >= min_lag)
+    found = found.groupBy("tick_queue", "last_tick").agg(F.min("next_tick").alias("next_tick"))
+    return last.join(found, ["tick_queue", "last_tick"], "left").select(*last.columns, "next_tick")
+
+
+def _first_later(t: DataFrame, at: DataFrame, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """at (tick_queue, last_tick, seek, …) with found: the first tick of t
+    (tick_queue, tick_id, us, seq) after last_tick that fits, where seek holds.
+
+    fits must hold for a group's largest us and seq if and only if it does for
+    one of its ticks. Ticks are grouped by FAN, those groups by FAN again, and
+    so on for LEVELS; the search climbs until a later group fits and descends
+    into it, so each row meets FAN others at most per step, and all groups of
+    the last level, one per FAN ** LEVELS ids of a queue.
+    """
+    group = lambda c, k: F.expr(f"{c} div {FAN ** k}")
+    rows = at.withColumns({"found": F.lit(None).cast("long"), "level": F.lit(None).cast("int")})
+
+    def step(rows: DataFrame, k: int, down: bool) -> DataFrame:
+        nodes = t.groupBy(F.col("tick_queue").alias("__q"), group("tick_id", k).alias("__id")).agg(F.max("us").alias("__us"), F.max("seq").alias("__seq"))
+        nodes = nodes.withColumn("__up", group("__id", 1)) if k < LEVELS else F.broadcast(nodes)
+        open_ = (F.col("level") == k + 1) if down else F.col("seek") & F.col("found").isNull() & (F.col("__id") > group("last_tick", k))
+        same = F.col("tick_queue") == F.col("__q")
+        if k < LEVELS:
+            up = group("last_tick", k + 1)
+            same = same & (F.col("__up") == (F.when(F.col("level") == k + 1, F.col("found")).otherwise(up) if down else up))
+        pairs = rows.join(nodes, same & open_ & fits(F.col("__us"), F.col("__seq")), "left")
+        got = pairs.groupBy(*rows.columns).agg(F.min("__id").alias("__got"))
+        new = F.col("__got").isNotNull()
+        changed = {"found": F.when(new, F.col("__got")).otherwise(F.col("found")), "level": F.when(new, F.lit(k)).otherwise(F.col("level"))}
+        return got.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns))
+
+    for k in range(LEVELS + 1):
+        rows = step(rows, k, False)
+    for k in reversed(range(LEVELS)):
+        rows = step(rows, k, True)
+    return rows.drop("level")
 
 
 def count_ticks(events: DataFrame, max_count: int) -> DataFrame:

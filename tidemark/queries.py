@@ -87,7 +87,8 @@ def snapshot_diff_xip(spark, d):
 
 
 def _consumers(spark, d):
-    top = S.ticks(spark, d).select("tick_queue", F.max("tick_id").over(Window.partitionBy("tick_queue")).alias("top"), "tick_id")
+    t = S.ticks(spark, d).select("tick_queue", "tick_id")
+    top = t.join(F.broadcast(t.groupBy("tick_queue").agg(F.max("tick_id").alias("top"))), "tick_queue")
     return top.where("tick_id % 9 = 0 and tick_id < top").select(F.concat(F.lit("c"), "tick_id").alias("consumer"), "tick_queue", F.col("tick_id").alias("last_tick"))
 
 

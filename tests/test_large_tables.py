@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import codec as C
 from tidemark.operators import batches as B
 from tidemark.operators import conflict as M
 from tidemark.queries import ORACLES, QUERIES
@@ -82,3 +83,20 @@ def test_members_whose_names_are_cut_equal_sql(spark, tmp_path):
     df = QUERIES["coop_next_batch"](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['coop_next_batch']})").fetchall()
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_row_is_decoded_once(spark):
+    """Not once more for each of its fields: the text is split in one place of the plan."""
+    df = spark.createDataFrame([("a=1&b=%c3%bc+x&c&a=2=%zz&d=",)], "c string").select(C.url_map(F.col("c")).alias("m"))
+    assert df.first()["m"] == {"b": "ü x", "c": None, "a": "2=%zz", "d": ""}
+    assert df._jdf.queryExecution().analyzed().toString().count("split(c#") == 1
+
+
+def test_url_codecs_of_plain_and_odd_texts(spark):
+    texts = ["", "plain_1.x-y", "a\n", "~*", "ü+%", "a b", "%41%4"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, c string")
+    got = rows.select("c", C.url_encode(F.col("c")).alias("e"), C.url_decode(C.url_encode(F.col("c"))).alias("d"), C.url_decode(F.col("c")).alias("p"), C.url_row({"a b": F.col("c"), "k": F.col("c")}).alias("r")).orderBy("i").collect()
+    assert [x.e for x in got] == ["", "plain_1.x-y", "a%0a", "%7e%2a", "%c3%bc%2b%25", "a+b", "%2541%254"]
+    assert [x.d for x in got] == texts
+    assert [x.p for x in got] == ["", "plain_1.x-y", "a\n", "~*", "ü %", "a b", "A%4"]
+    assert [x.r for x in got] == [f"a+b={x.e}&k={x.e}" for x in got]

@@ -3,6 +3,8 @@ array text, names, natural sort keys, timestamps."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,18 +13,20 @@ def url_encode(c: Column) -> Column:
     """Space becomes +, letters, digits, ``_.-`` stay, all other bytes are %xx in lower case."""
     parts = F.split(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), "%")
     lowered = F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lower(F.substring(x, 1, 2)), F.substring(x, 3, 1 << 30))))
-    return F.array_join(lowered, "%")
+    return F.when(c.rlike(r"\A[A-Za-z0-9_.-]*\z"), c).otherwise(F.array_join(lowered, "%"))
 
 
 def url_row(fields: dict[str, Column]) -> Column:
     """``a=1&b&c=``: a null value has no ``=``, an empty one has."""
-    parts = [F.when(v.isNull(), url_encode(F.lit(k))).otherwise(F.concat(url_encode(F.lit(k)), F.lit("="), url_encode(v))) for k, v in fields.items()]
+    name = lambda k: F.lit(k) if re.fullmatch("[A-Za-z0-9_.-]*", k) else url_encode(F.lit(k))
+    parts = [F.when(v.isNull(), name(k)).otherwise(F.concat(name(k), F.lit("="), url_encode(v))) for k, v in fields.items()]
     return F.concat_ws("&", *parts)
 
 
 def url_decode(c: Column) -> Column:
     """+ is a space, %xx a byte; a % that two hexadecimal digits don't follow stays."""
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    coded = F.contains(c, F.lit("%")) | F.contains(c, F.lit("+"))
+    return F.when(coded, F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(c)
 
 
 def url_map(text: Column) -> Column:
@@ -31,11 +35,11 @@ def url_map(text: Column) -> Column:
     without ``=`` is null."""
     parts = F.filter(F.split(text, "&"), lambda x: x != "")
     name = lambda x: url_decode(F.substring_index(x, "=", 1))
-    rest = lambda x: F.array_join(F.slice(F.split(x, "="), 2, F.size(F.split(x, "="))), "=")
-    value = lambda x: F.when(F.contains(x, F.lit("=")), url_decode(rest(x)))
+    value = lambda x: F.when(F.contains(x, F.lit("=")), url_decode(F.substring(x, F.instr(x, "=") + 1, F.length(x))))
     pairs = F.transform(parts, lambda x: F.struct(name(x).alias("k"), value(x).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    # Bound by a function of their own, the pairs are made once and not again for each of them.
+    last = lambda made: F.filter(made, lambda p, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(F.get(F.transform(F.array(pairs), last), F.lit(0)))
 
 
 def quote_literal(c: Column) -> Column:
@@ -165,8 +169,6 @@ def quote_bytea_copy(c: Column) -> Column:
 
 def quote_statement(template: str, values: dict[str, Column]) -> Column:
     """A statement with each ``%(name)s`` replaced by the quoted value; ``%%`` is a percent sign."""
-    import re
-
     parts = re.split(r"%\((\w+)\)s", template)
     return F.concat(*(quote_literal(values[x].cast("string")) if i % 2 else F.lit(x.replace("%%", "%")) for i, x in enumerate(parts)))
 
